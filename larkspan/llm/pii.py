@@ -1,0 +1,252 @@
+"""Format-preserving pseudonyms by a keyed Feistel permutation.
+
+Validated numbers and dates, and the private strings around them, are permuted within their format: a card number
+becomes another one that passes the same check, a date another date, an address another address. The permutation
+depends on the key and the kind alone, so equal values stay equal across documents, and whoever holds the key can
+invert it. Numbers that fail their check are no personal data and stay as they are.
+
+Kinds: card (Luhn), iban (mod 97), ssn, phone, ip, date, email, secret. Nulls stay null, texts without a finding stay
+byte for byte, repeated rows give equal rows, and the columns given stay as they are but for the text.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from datetime import date
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import common as C
+
+ROUNDS = 8
+DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _round(key: bytes, tweak: bytes, i: int, half: int, bits: int) -> int:
+    h = hashlib.blake2b(half.to_bytes((bits + 7) // 8 or 1, "big"), key=key[:64], person=bytes([i]) + hashlib.blake2b(tweak, digest_size=15).digest(), digest_size=max(8, (bits + 7) // 8))
+    return int.from_bytes(h.digest(), "big") & ((1 << bits) - 1)
+
+
+def permute(x: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
+    """A keyed permutation of range(size): a balanced Feistel network over enough bits, walked until inside again."""
+    if size < 2:
+        return x
+    bits = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << bits) - 1
+    while True:
+        a, b = x >> bits, x & mask
+        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            if back:
+                a, b = b ^ _round(key, tweak, i, a, bits), a
+            else:
+                a, b = b, a ^ _round(key, tweak, i, b, bits)
+        x = a << bits | b
+        if x < size:
+            return x
+
+
+def permute_text(text: str, key: bytes, tweak: bytes, back: bool = False, hex_digits: bool = False) -> str:
+    """Digits to digits and letters to letters of the same case, all else in place; hex_digits: among 0-9a-f."""
+    if hex_digits:
+        choices = (DIGITS + "ABCDEF" if any(c in UPPERS for c in text) else DIGITS + "abcdef",)
+    else:
+        choices = (DIGITS, LOWERS, UPPERS)
+    alphabets = [next((a for a in choices if c in a), None) for c in text]
+    size, x = 1, 0
+    for c, a in zip(text, alphabets, strict=True):
+        if a:
+            x, size = x * len(a) + a.index(c), size * len(a)
+    shape = tweak + "".join(a[0] if a else c for c, a in zip(text, alphabets, strict=True)).encode("utf-8", "surrogatepass")
+    x = permute(x, size, key, shape, back)
+    out = []
+    for c, a in zip(reversed(text), reversed(alphabets), strict=True):
+        if a:
+            x, r = divmod(x, len(a))
+            c = a[r]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def luhn(digits: str) -> int:
+    """The check digit that belongs after digits."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (2 if i % 2 == 0 else 1)
+        total += v - 9 if v > 9 else v
+    return -total % 10
+
+
+def _fill(shape: str, digits: str) -> str:
+    it = iter(digits)
+    return "".join(next(it) if c in DIGITS else c for c in shape)
+
+
+def _card(m: str, key: bytes, back: bool) -> str | None:
+    d = re.sub(r"\D", "", m)
+    if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+        return None
+    body = f"{permute(int(d[:-1]), 10 ** (len(d) - 1), key, b'card%d' % len(d), back):0{len(d) - 1}d}"
+    while len(set(body + str(luhn(body)))) == 1:  # walk on, as such numbers are not taken for cards
+        body = f"{permute(int(body), 10 ** (len(d) - 1), key, b'card%d' % len(d), back):0{len(d) - 1}d}"
+    return _fill(m, body + str(luhn(body)))
+
+
+def _mod97(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def _iban(m: str, key: bytes, back: bool) -> str | None:
+    s = re.sub(r"\s", "", m)
+    if not 15 <= len(s) <= 34 or _mod97(s[4:] + s[:4]) != 1:
+        return None
+    body = permute_text(s[4:], key, b"iban" + s[:2].encode(), back)
+    new = iter(s[:2] + f"{98 - _mod97(body + s[:2] + '00'):02d}" + body)
+    return "".join(c if c.isspace() else next(new) for c in m)
+
+
+def _ssn_parts(x: int) -> tuple[int, int, int]:
+    x, serial = divmod(x, 9999)
+    area, group = divmod(x, 99)
+    area += 1
+    return area if area < 666 else area + 1, group + 1, serial + 1
+
+
+def _ssn(m: str, key: bytes, back: bool) -> str | None:
+    a, g, s = (int(x) for x in re.findall(r"\d+", m))
+    if a in (0, 666) or a >= 900 or g == 0 or s == 0:
+        return None
+    x = ((a - 1 if a < 666 else a - 2) * 99 + g - 1) * 9999 + s - 1
+    return "{:03d}{}{:02d}{}{:04d}".format(*[y for pair in zip(_ssn_parts(permute(x, 898 * 99 * 9999, key, b"ssn", back)), [m[3], m[6], ""], strict=True) for y in pair][:5])
+
+
+def _phone(m: str, key: bytes, back: bool) -> str | None:
+    digits = re.sub(r"\D", "", m)
+    if not 8 <= len(digits) <= 15:
+        return None
+    code = re.match(r"\+?(\d{1,3}?)(?=\D)", m)
+    keep = len(code[1]) if m[0] == "+" and code else (1 if len(digits) == 11 and digits[0] == "1" else 0)
+    rest = digits[keep:]
+    if len(rest) < 5:
+        return None
+    if rest[0] not in "23456789":  # the first digit of an area code is permuted among its like
+        head, tail = rest[0], rest[1:]
+        return _fill(m, digits[:keep] + head + f"{permute(int(tail), 10 ** len(tail), key, b'tail' + head.encode(), back):0{len(tail)}d}")
+    x = permute(int(rest) - 2 * 10 ** (len(rest) - 1), 8 * 10 ** (len(rest) - 1), key, b"phone", back)
+    return _fill(m, digits[:keep] + str(x + 2 * 10 ** (len(rest) - 1)))
+
+
+def _ip(m: str, key: bytes, back: bool) -> str | None:
+    p = [int(x) for x in m.split(".")]
+    if max(p) > 255 or any(len(x) > 1 and x[0] == "0" for x in m.split(".")):
+        return None
+    x = permute(int.from_bytes(bytes(p), "big"), 1 << 32, key, b"ip", back)
+    return ".".join(map(str, x.to_bytes(4, "big")))
+
+
+_FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+
+
+def _date(m: str, key: bytes, back: bool) -> str | None:
+    sep = re.search(r"\D", m)[0]
+    a, b, c = m.split(sep)
+    # Year first, else day first; month first only where day first is no date. All orders have their own permutation.
+    for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
+        part = dict(zip(order, (a, b, c), strict=True))
+        try:
+            day = date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal()
+        except ValueError:
+            continue
+        if not _FIRST <= day <= _LAST:
+            return None
+        while True:
+            day = _FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, b"date" + order.encode(), back)
+            new = date.fromordinal(day)
+            if order != "mdy" or new.day > 12:  # a result that reads as day first would not be inverted
+                break
+        fields = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        return sep.join(fields[x] for x in order)
+    return None
+
+
+def _email(m: str, key: bytes, back: bool) -> str | None:
+    local, domain = m.rsplit("@", 1)
+    host, _, top = domain.rpartition(".")
+    return f"{permute_text(local, key, b'local', back)}@{permute_text(host, key, b'host', back)}.{top}"
+
+
+def _secret(m: str, key: bytes, back: bool) -> str | None:
+    head = re.match(r"(?i)(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)|[\w\-]*(?:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key)\w*\W{1,9}", m)
+    value = m[head.end() :] if head else m
+    hexes = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None
+    return (m[: head.end()] if head else "") + permute_text(value, key, b"hex" if hexes else b"secret", back, hexes)
+
+
+#: Kind, a test that a text must pass to be searched at all, the pattern, and what becomes of a match (None: no finding).
+Kind = tuple[str, Callable[[str], bool], re.Pattern, Callable[[str, bytes, bool], str | None]]
+_JUNK = r"[^\w\n+]{0,8}"
+KINDS: list[Kind] = [
+    ("email", lambda t: "@" in t, re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}\b|[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"), _email),
+    ("secret", lambda t: True, re.compile(r"\b(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Aa]ccess[_\-]?[Kk]ey|ACCESS[_\-]?KEY)\w*(?=\W{0,8}[=:])\W{1,9}[A-Za-z0-9_+/\-]{12,}|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[po]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|\bxox[bap]-[A-Za-z0-9\-]{10,}"), _secret),
+    ("iban", lambda t: True, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
+    ("phone", lambda t: "+" in t, re.compile(rf"\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}{_JUNK}\d{{2,4}}(?:{_JUNK}\d{{2,4}})?(?!\w)"), _phone),
+    ("phone", lambda t: "(" in t, re.compile(r"(?<![\w+])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\w)"), _phone),
+    ("ip", lambda t: True, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
+    ("date", lambda t: True, re.compile(r"(?<![\w./\-])(?:\d{4}([\-/.])\d{2}\1\d{2}|\d{2}([\-/.])\d{2}\2\d{4})(?![\w/\-]|\.\d)"), _date),
+    ("ssn", lambda t: "-" in t, re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"), _ssn),
+    ("card", lambda t: True, re.compile(r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w])"), _card),
+]
+_DIGIT = re.compile(r"\d")
+
+
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[str]]:
+    """The text with its findings replaced, and their kinds. Later kinds are not looked for in earlier findings."""
+    found: list[tuple[int, int, str, str]] = []
+    digits = _DIGIT.search(text) is not None
+    for kind, may, pattern, replace in KINDS:
+        if not may(text) or (not digits and kind not in ("email", "secret")):
+            continue
+        for m in pattern.finditer(text):
+            if any(m.start() < b and a < m.end() for a, b, _, _ in found):
+                continue
+            new = replace(m[0], key, back)
+            if new is not None:
+                found.append((m.start(), m.end(), new, kind))
+    if not found:
+        return text, []
+    found.sort()
+    out, at = [], 0
+    for a, b, new, _ in found:
+        out += [text[at:a], new]
+        at = b
+    return "".join(out) + text[at:], [k for *_, k in found]
+
+
+def pseudonymise_column(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """docs with its text replaced, and the columns pii_kinds (sorted, comma-joined) and pii_count after the others."""
+    C.arrow_limits(spark)
+    if len(key) < 16:
+        raise ValueError("the key needs 16 bytes at least")
+    names = [c for c in docs.columns if c not in ("pii_kinds", "pii_count")]
+    source = docs.select(*names).withColumn(text_col, F.col(text_col).cast("string"))
+    place = names.index(text_col)
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kinds = [], []
+            for t in batch.column(place):
+                t = t.as_py()
+                new, some = (None, []) if t is None else pseudonymise(t, key)
+                texts.append(new)
+                kinds.append(some)
+            columns = list(batch.columns)
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([",".join(sorted(set(k))) for k in kinds]), pa.array(np.array([len(k) for k in kinds], np.int64))], names=[*names, "pii_kinds", "pii_count"])
+
+    schema = T.StructType(list(source.schema)).add("pii_kinds", "string").add("pii_count", "long")
+    return source.mapInArrow(replace, schema)

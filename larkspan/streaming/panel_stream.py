@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def window_counts(stream: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("event_type",), value: str = "value", width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums by tumbling windows of event time; works on a batch, too."""
-    source = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    source = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    if source.isStreaming:
+        source = source.withWatermark(ts, late)
     out = source.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(ts).alias("last"))
     return out.select(F.col("window.start").alias("start"), *keys, "n", "total", "last")
 
@@ -28,4 +30,5 @@ def cooldown_stream(stream: DataFrame, key: str = "user_id", ts: str = "ts", sec
             state.update((last,))
         yield pd.DataFrame({key: pd.Series([r[0] for r in rows], dtype="int64"), ts: pd.Series([r[1] for r in rows], dtype="datetime64[ns]")})
 
-    return stream.withWatermark(ts, late).select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} long, {ts} timestamp_ntz" if dict(stream.dtypes)[ts] == "timestamp_ntz" else f"{key} long, {ts} timestamp", "last double", "append", "NoTimeout")
+    source = stream.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, late)
+    return source.groupBy(key).applyInPandasWithState(step, f"{key} long, {ts} timestamp", "last double", "append", "NoTimeout")

@@ -92,9 +92,9 @@ class Judge:
     def judge(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.names:
             return "und", 0.0
-        mine = profile(ngrams(text), self.most)
-        if not len(mine) or _OTHER.sub("", text) == "":
+        if not any(map(str.isalpha, text)):
             return "und", 0.0
+        mine = profile(ngrams(text), self.most)
         at = np.searchsorted(self.codes, mine)
         at[at == len(self.codes)] = 0
         at = np.where(self.codes[at] == mine, at, len(self.codes))

@@ -191,7 +191,7 @@ def _secret(m: str, key: bytes, back: bool) -> str | None:
 Kind = tuple[str, Callable[[str], bool], re.Pattern, Callable[[str, bytes, bool], str | None]]
 _JUNK = r"[^\w\n+]{0,8}"
 KINDS: list[Kind] = [
-    ("email", lambda t: "@" in t, re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}\b|[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"), _email),
+    ("email", lambda t: "@" in t, re.compile(r"[^\W_][\w.%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"), _email),
     ("secret", lambda t: True, re.compile(r"\b(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Aa]ccess[_\-]?[Kk]ey|ACCESS[_\-]?KEY)\w*(?=\W{0,8}[=:])\W{1,9}[A-Za-z0-9_+/\-]{12,}|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[po]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|\bxox[bap]-[A-Za-z0-9\-]{10,}"), _secret),
     ("iban", lambda t: True, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("phone", lambda t: "+" in t, re.compile(rf"\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}{_JUNK}\d{{2,4}}(?:{_JUNK}\d{{2,4}})?(?!\w)"), _phone),

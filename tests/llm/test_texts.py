@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from larkspan.llm import langid, license_scan, packing, pii, quality, repair_codec, simhash
 from larkspan.llm.tokens import encoder, tokenizer_path
@@ -199,9 +200,9 @@ def test_best_fit():
 
 
 def test_language_id(spark, docs, odd, none):
-    profiles = langid.learn(spark, docs.where(~langid.held_out(docs["doc_id"])))
+    profiles = langid.learn(spark, docs.where(~langid.held_out(F.col("doc_id"))))
     assert set(profiles) == {"de", "en", "es", "fr"}
-    rows = langid.identify(spark, docs, profiles).withColumn("out", langid.held_out(docs["doc_id"])).collect()
+    rows = langid.identify(spark, docs, profiles).withColumn("out", langid.held_out(F.col("doc_id"))).collect()
     held = [r for r in rows if r.out and r.lang and r.lang_pred != "und"]
     assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held) > 20
     assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
@@ -254,8 +255,6 @@ def test_formats_stay_valid():
 
 
 def test_importance_resampling(spark, sf, docs, none):
-    from pyspark.sql import functions as F
-
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     good = labels.where("quality = 1").select(F.col("doc_id").alias("id"))
     rows = quality.resample(spark, docs, good).collect()

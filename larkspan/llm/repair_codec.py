@@ -203,6 +203,7 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
     starts = C.scratch(starts, "shard-starts")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that has encoded before
         for batch in batches:
             for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = blob.as_py()

@@ -15,14 +15,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common as C
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space for either regex engine; a space next to one of these is no place to cut.
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ODD = f"{_BLANK} | {_BLANK}"
+_ODD = rf"{_BLANK} | {_BLANK}|\x01"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Chunks kept; the cache starts anew beyond.
-_MOST = 1_000_000
+#: One mark between a letter and white space is cut off on both sides. _SEP stands between chunks.
+_MARK, _AFTER, _SEP = r"(\pL)([.,;:!?])", r"(\s|$)", "\x01"
+#: Chunks kept; beyond, those that were not met again are dropped.
+_MOST = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,16 +52,34 @@ class Encoder:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        """Keep the chunks that were met again, if they are few enough."""
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > _MOST:
+            return self._clear()
+        names = list(self.number)  # in order of number
+        names = [names[i] for i in kept.tolist()]
+        size, start = self.size[kept], self.start[kept]
+        to = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(start - to, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.again = to, size, np.zeros(len(kept), bool)
+        self.number = dict(zip(names, range(len(names)), strict=True))
 
     def _look(self, chunks: list[str]) -> np.ndarray:
         """The numbers of distinct chunks, whose ids are in flat from start on; encodes those that are new."""
         found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
         if not len(new):
             return found
         if self.number and len(self.number) + len(new) > _MOST:
-            self._clear()
-            return self._look(chunks)
+            self._shrink()
+            if len(self.number) + len(new) > _MOST:
+                self._clear()
+            found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+            new = np.flatnonzero(found < 0)
         names = [chunks[i] for i in new.tolist()]
         lists: list[list[int]] = []
         for i in range(0, len(names), 20_000):
@@ -66,7 +88,7 @@ class Encoder:
         first = len(self.size)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))])
-        self.size = np.concatenate([self.size, size])
+        self.size, self.again = np.concatenate([self.size, size]), np.concatenate([self.again, np.zeros(len(size), bool)])
         found[new] = np.arange(first, first + len(new))
         self.number.update(zip(names, found[new].tolist(), strict=True))
         return found
@@ -77,17 +99,19 @@ class Encoder:
         if n == 0:
             return []
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.keep_space else np.zeros(n, bool)
-        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        whole, odd = texts, np.zeros(n, bool)
+        if self.keep_space:
+            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+            texts = pc.replace_substring_regex(pc.if_else(pa.array(odd), "", texts), _MARK + _AFTER, rf"\1{_SEP}\2{_SEP}\3")
+            split = pc.split_pattern(pc.replace_substring(texts, " ", _SEP + " "), _SEP)
+        else:
+            # Small and capital ASCII letters are one to this tokenizer, and so is all white space.
+            raw, offsets = C.string_bytes(texts)
+            low = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(C.LOWER[raw])])
+            split = pc.split_pattern(pc.replace_substring_regex(low, _MARK + _AFTER, r"\1 \2 "), " ")
         at = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
         code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        if self.keep_space:
-            first = np.zeros(len(code), bool)
-            first[at[:-1]] = True
-            # Of each chunk both forms may be needed: first in its text, and after a space.
-            both, code = np.unique(code * 2 + ~first, return_inverse=True)
-            names = [" " + names[x >> 1] if x & 1 else names[x >> 1] for x in both.tolist()]
         number = self._look(names)[code]
         each = self.size[number]
         ends = np.concatenate([[0], np.cumsum(each)])
@@ -95,7 +119,7 @@ class Encoder:
         cuts = ends[at]
         out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         for k in np.flatnonzero(odd).tolist():
-            chunks = _CUT.split(texts[k].as_py())
+            chunks = _CUT.split(whole[k].as_py())
             names = list(dict.fromkeys(chunks))
             number = dict(zip(names, self._look(names).tolist(), strict=True))
             out[k] = np.concatenate([self.flat[self.start[i] : self.start[i] + self.size[i]] for i in map(number.get, chunks)])

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 from . import common as C
 
 #: Words in a block; texts in a bucket, about; slots in a chunk; cells of the weight axis.
-BLOCK, BUCKET, CHUNK, CELLS = 32, 20_000, 1 << 14, 1024
+BLOCK, BUCKET, CHUNK, CELLS = 32, 2_000, 1 << 14, 1024
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Golden ratio's fraction, and that of 2^14 times it.
 _PHI = (math.sqrt(5) - 1) / 2
@@ -123,17 +123,20 @@ def mix_counts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """The rows of docs that the mix takes, with the columns of docs: as often as whole, and once cut to the words taken
     beyond that. Texts that it does not take are absent. Rows of one id share what all of them have."""
-    counts = C.scratch(mix_counts(spark, docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken")), "taken")
-    counts = counts.where("_taken > 0")
-    joined = docs.join(counts.withColumnRenamed("doc_id", "_id"), docs[id_col].eqNullSafe(F.col("_id")))
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = F.col("_taken") / F.col("_size") - whole
-    mine = words(F.col(text_col))
-    some = F.round(rest * mine).cast("int")
+    p = "_mix"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    size, taken, part, key = (f"{p}{x}" for x in ("size", "taken", "part", "id"))
+    counts = mix_counts(spark, docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias(key)).agg(F.sum("size").alias(size), F.sum("taken").alias(taken))
+    counts = C.scratch(counts, "taken").where(F.col(taken) > 0)
+    joined = docs.join(counts, docs[id_col].eqNullSafe(counts[key]))
+    whole = F.floor(F.col(taken) / F.col(size)).cast("int")
+    rest = F.col(taken) / F.col(size) - whole
+    some = F.round(rest * words(F.col(text_col))).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(some > 0, F.array(some)).otherwise(F.array().cast("array<int>")))
-    out = joined.withColumn("_part", F.explode(parts))
-    cut = F.array_join(F.slice(F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), 1, F.greatest(F.col("_part"), F.lit(1))), " ")
-    out = out.withColumn(text_col, F.when(F.col("_part") < 0, F.col(text_col)).otherwise(cut))
+    out = joined.withColumn(part, F.explode(parts))
+    cut = F.array_join(F.slice(F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), 1, F.greatest(F.col(part), F.lit(1))), " ")
+    out = out.withColumn(text_col, F.when(F.col(part) < 0, F.col(text_col)).otherwise(cut))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)

@@ -52,6 +52,11 @@ class Tables:
         last = snap.last_complete(panel.complete_periods(self.mentions, self.kind))
         return snap.snapshot(self.panel, self.edges, self.places, last)
 
+    @property
+    def shared(self) -> DataFrame:
+        """The snapshot for plans that read it several times; what is lost of it is made again."""
+        return self.snapshot.persist()
+
 
 def T(spark: SparkSession, sf_dir: str, grain: str = "supplier") -> Tables:
     return Tables(spark, sf_dir, grain)
@@ -468,7 +473,7 @@ _policy("q11_value_aware", policy.value_aware, value={"ECONOMY": 2.0, "PROMO": 0
 
 @query
 def q06_abstention(spark, d):
-    s = T(spark, d).snapshot
+    s = T(spark, d).shared
     return policy.abstention(s, policy.peer_relative(s)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -479,12 +484,12 @@ def q09_diagnosis_vs_action(spark, d):
 
 @query
 def q10_all_policies(spark, d):
-    return policy.all_policies(T(spark, d).snapshot).select("unit", "strategy", "aspect", F.round("score", 9).alias("score"))
+    return policy.all_policies(T(spark, d).shared).select("unit", "strategy", "aspect", F.round("score", 9).alias("score"))
 
 
 @query
 def q13_weight_grid_choices(spark, d):
-    return policy.grid_choices(T(spark, d).snapshot)
+    return policy.grid_choices(T(spark, d).shared)
 
 
 @query
@@ -494,23 +499,23 @@ def o03_ranking(spark, d):
 
 @query
 def g20_policy_coverage(spark, d):
-    s = T(spark, d).snapshot
+    s = T(spark, d).shared
     return policy.coverage(s, policy.all_policies(s))
 
 
 @query
 def g21_pairwise_agreement(spark, d):
-    return policy.agreement(policy.all_policies(T(spark, d).snapshot))
+    return policy.agreement(policy.all_policies(T(spark, d).shared))
 
 
 @query
 def g22_policy_shares(spark, d):
-    return policy.shares(policy.all_policies(T(spark, d).snapshot))
+    return policy.shares(policy.all_policies(T(spark, d).shared))
 
 
 @query
 def p21_choice_audit(spark, d):
-    s = T(spark, d).snapshot
+    s = T(spark, d).shared
     return policy.audit(s, policy.all_policies(s))
 
 

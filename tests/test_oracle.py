@@ -6,11 +6,14 @@ import os
 import duckdb
 import pytest
 
-from larkspan.plans.oracle import ORACLE
+from larkspan.plans.more_queries import MORE_ORACLE
+from larkspan.plans.oracle import ORACLE as FIRST_ORACLE
 from larkspan.plans.queries import QUERIES
 
 from .conftest import SMALL
 
+ORACLE = FIRST_ORACLE | MORE_ORACLE
+
 
 @pytest.fixture(scope="session")
 def con():

@@ -25,6 +25,8 @@ _ODD = rf"{_BLANK} | {_BLANK}|\x01"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: One mark between a letter and white space is cut off on both sides. _SEP stands between chunks.
 _MARK, _AFTER, _SEP = r"(\pL)([.,;:!?])", r"(\s|$)", "\x01"
+#: A word of one id that texts seldom have, put between chunks; chunks encoded as one text.
+_RARE, _JOIN = "\u03c9", 500
 #: Chunks kept; beyond, those that were not met again are dropped.
 _MOST = 400_000
 
@@ -47,6 +49,8 @@ class Encoder:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.keep_space = self.inner.normalizer is None
+        mark = self.inner.encode(_RARE, add_special_tokens=False).ids
+        self.rare = mark[0] if len(mark) == 1 and not self.keep_space else None
         self._clear()
 
     def _clear(self) -> None:
@@ -67,6 +71,31 @@ class Encoder:
         self.start, self.size, self.again = to, size, np.zeros(len(kept), bool)
         self.number = dict(zip(names, range(len(names)), strict=True))
 
+    def _fresh(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one chunk after another, and how many each has. Where white space is no part of a token, many
+        chunks are encoded as one text with a rare word between; a group in which that word's id comes more often is
+        encoded chunk by chunk."""
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        group = _JOIN if self.rare is not None else 1
+        for i in range(0, len(names), 20_000):
+            some = [names[k : k + group] for k in range(i, min(i + 20_000, len(names)), group)]
+            for part, e in zip(some, self.inner.encode_batch_fast([f" {_RARE} ".join(x) for x in some], add_special_tokens=False), strict=True):
+                found = np.array(e.ids, np.uint32)
+                if group > 1:
+                    cut = np.flatnonzero(found == self.rare)
+                    if len(cut) == len(part) - 1:
+                        ids.append(np.delete(found, cut))
+                        sizes.append(np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
+                        continue
+                    each = [x.ids for x in self.inner.encode_batch_fast(part, add_special_tokens=False)]
+                    found = np.fromiter(chain.from_iterable(each), np.uint32)
+                    sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+                else:
+                    sizes.append(np.array([len(found)]))
+                ids.append(found)
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _look(self, chunks: list[str]) -> np.ndarray:
         """The numbers of distinct chunks, whose ids are in flat from start on; encodes those that are new."""
         found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -81,13 +110,10 @@ class Encoder:
             found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
             new = np.flatnonzero(found < 0)
         names = [chunks[i] for i in new.tolist()]
-        lists: list[list[int]] = []
-        for i in range(0, len(names), 20_000):
-            lists += [e.ids for e in self.inner.encode_batch_fast(names[i : i + 20_000], add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids, size = self._fresh(names)
         first = len(self.size)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, ids])
         self.size, self.again = np.concatenate([self.size, size]), np.concatenate([self.again, np.zeros(len(size), bool)])
         found[new] = np.arange(first, first + len(new))
         self.number.update(zip(names, found[new].tolist(), strict=True))

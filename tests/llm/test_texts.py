@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from larkspan.llm import langid, license_scan, packing, pii, quality, repair_codec, simhash
-from larkspan.llm.tokens import encoder, tokenizer_path
+from larkspan.llm.tokens import Encoder, encoder, tokenizer_path
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -130,6 +130,18 @@ def test_dedup_keeps_one_of_each(spark, odd, none):
     assert simhash.dedup(spark, none).count() == 0
 
 
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_encoded_together(name):
+    """Texts that hold the word put between chunks are encoded as if it were any other."""
+    import pyarrow as pa
+
+    e = Encoder(tokenizer_path(name))
+    texts = ["\u03c9", "a \u03c9 b", "\u03a9 \u03a9 \u03c9", "x \u03c9, y", None, "", "  ", "\u03c9" * 5, " \u0301x \u03c9   z", *(f"w{i} {i}" for i in range(2000))]
+    want = [e.inner.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(pa.array(texts))] == want
+
+
 def test_chunked_encoding_equals_whole(docs):
     import pyarrow as pa
 

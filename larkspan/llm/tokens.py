@@ -6,6 +6,7 @@ white space, so a text is cut there and each distinct chunk is encoded once. Tes
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -27,6 +28,8 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MARK, _AFTER, _SEP = r"(\pL)([.,;:!?])", r"(\s|$)", "\x01"
 #: A word of one id that texts seldom have, put between chunks; chunks encoded as one text.
 _RARE, _JOIN = "\u03c9", 500
+#: Latin letters, marks that do not combine, and _RARE.
+_LATIN = re.compile("[\x00-\u024f\u03c9]*")
 #: Chunks kept; beyond, those that were not met again are dropped.
 _MOST = 400_000
 
@@ -51,6 +54,13 @@ class Encoder:
         self.keep_space = self.inner.normalizer is None
         mark = self.inner.encode(_RARE, add_special_tokens=False).ids
         self.rare = mark[0] if len(mark) == 1 and not self.keep_space else None
+        self.bare = None
+        if self.rare is not None:
+            steps = json.loads(self.inner.normalizer.__getstate__()).get("normalizers", [])
+            if [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]:
+                self.bare = Tokenizer.from_file(path)
+                self.bare.encode_special_tokens = True
+                self.bare.normalizer = None
         self._clear()
 
     def _clear(self) -> None:
@@ -71,29 +81,43 @@ class Encoder:
         self.start, self.size, self.again = to, size, np.zeros(len(kept), bool)
         self.number = dict(zip(names, range(len(names)), strict=True))
 
+    def _encoded(self, texts: list[str]) -> list:
+        """Encodings of texts; those of Latin letters, which are composed as they stand, are lowered here and skip the
+        normalizer, whose other step joins white space that separates words all the same."""
+        if self.bare is None:
+            return self.inner.encode_batch_fast(texts, add_special_tokens=False)
+        plain = [_LATIN.fullmatch(t) is not None for t in texts]
+        easy = iter(self.bare.encode_batch_fast([t.lower() for t, p in zip(texts, plain, strict=True) if p], add_special_tokens=False))
+        hard = iter(self.inner.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(easy if p else hard) for p in plain]
+
+    def _each(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists: list[list[int]] = []
+        for i in range(0, len(names), 20_000):
+            lists += [e.ids for e in self.inner.encode_batch_fast(names[i : i + 20_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
+
     def _fresh(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, one chunk after another, and how many each has. Where white space is no part of a token, many
         chunks are encoded as one text with a rare word between; a group in which that word's id comes more often is
         encoded chunk by chunk."""
+        if self.rare is None:
+            return self._each(names)
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        group = _JOIN if self.rare is not None else 1
         for i in range(0, len(names), 20_000):
-            some = [names[k : k + group] for k in range(i, min(i + 20_000, len(names)), group)]
-            for part, e in zip(some, self.inner.encode_batch_fast([f" {_RARE} ".join(x) for x in some], add_special_tokens=False), strict=True):
+            some = [names[k : k + _JOIN] for k in range(i, min(i + 20_000, len(names)), _JOIN)]
+            for part, e in zip(some, self._encoded([f" {_RARE} ".join(x) for x in some]), strict=True):
                 found = np.array(e.ids, np.uint32)
-                if group > 1:
-                    cut = np.flatnonzero(found == self.rare)
-                    if len(cut) == len(part) - 1:
-                        ids.append(np.delete(found, cut))
-                        sizes.append(np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
-                        continue
-                    each = [x.ids for x in self.inner.encode_batch_fast(part, add_special_tokens=False)]
-                    found = np.fromiter(chain.from_iterable(each), np.uint32)
-                    sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+                cut = np.flatnonzero(found == self.rare)
+                if len(cut) == len(part) - 1:
+                    ids.append(np.delete(found, cut))
+                    sizes.append(np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
                 else:
-                    sizes.append(np.array([len(found)]))
-                ids.append(found)
+                    found, size = self._each(part)
+                    ids.append(found)
+                    sizes.append(size)
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _look(self, chunks: list[str]) -> np.ndarray:

@@ -137,7 +137,7 @@ def test_chunks_encoded_together(name):
     import pyarrow as pa
 
     e = Encoder(tokenizer_path(name))
-    texts = ["\u03c9", "a \u03c9 b", "\u03a9 \u03a9 \u03c9", "x \u03c9, y", None, "", "  ", "\u03c9" * 5, " \u0301x \u03c9   z", *(f"w{i} {i}" for i in range(2000))]
+    texts = ["\u03c9", "a \u03c9 b", "\u03a9 \u03a9 \u03c9", "x \u03c9, y", None, "", "  ", "\u03c9" * 5, " \u0301x \u03c9   z", *(f"w{i} {i}" for i in range(2000)), *(f"a{chr(i)}b {chr(i)} x{chr(i)}" for i in range(0x260)), "e\u0301te\u0301 \u03a3\u03a3"]
     want = [e.inner.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in e.encode(pa.array(texts))] == want
 

@@ -151,34 +151,42 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _search(table: pa.Table, threshold: float, slack: float, beam: int) -> pa.Table:
+    """Links of a unit; by the graph if the table has it, else by all pairs."""
     table = table.sort_by("node")
     nodes, x, size = table["node"].to_numpy(), _matrix(table["unit"]), table["copies"].to_numpy()
     homes, part = _matrix(table["homes"]).astype(np.int64), table["part"].to_numpy()
     shard, a, b = (table[c][0].as_py() for c in UNIT)
     n = len(nodes)
-    inside = []
-    for e in _lists(table["near"]):
-        at = np.searchsorted(nodes, e)
-        at[at == n] = 0
-        inside.append(at[nodes[at] == e])
-    edges = np.full((n, max(1, max(map(len, inside)))), n)
-    for i, e in enumerate(inside):
-        edges[i, : len(e)] = e
-    medoid = int(np.argmax(x @ x.mean(axis=0)))
     found = np.zeros((n, n), bool)
-    for i in range(0, n, 512):
-        found[i : i + 512] = range_search(x, edges, np.arange(i, min(n, i + 512)), medoid, threshold - slack, beam)
+    if "near" in table.column_names:
+        inside = []
+        for e in _lists(table["near"]):
+            at = np.searchsorted(nodes, e)
+            at[at == n] = 0
+            inside.append(at[nodes[at] == e])
+        edges = np.full((n, max(1, max(map(len, inside)))), n)
+        for i, e in enumerate(inside):
+            edges[i, : len(e)] = e
+        medoid = int(np.argmax(x @ x.mean(axis=0)))
+        for i in range(0, n, 512):
+            found[i : i + 512] = range_search(x, edges, np.arange(i, min(n, i + 512)), medoid, threshold - slack, beam)
+    else:
+        for i in range(0, n, 512):
+            found[i : i + 512] = x[i : i + 512] @ x.T >= threshold - 1e-9
     found |= found.T
     np.fill_diagonal(found, False)
     p, q = np.nonzero(np.triu(found))
-    ok = np.einsum("ij,ij->i", x[p], x[q]) >= threshold if len(p) else np.zeros(0, bool)
+    ok = np.concatenate([np.einsum("ij,ij->i", x[p[i : i + (1 << 16)]], x[q[i : i + (1 << 16)]]) >= threshold for i in range(0, len(p), 1 << 16)]) if len(p) else np.zeros(0, bool)
     p, q = p[ok], q[ok]
     links = np.zeros((n, n), bool)
     links[p, q] = links[q, p] = True
     own = np.zeros(len(p), bool)
     for i in range(0, len(p), 1 << 16):
         h, g = homes[p[i : i + (1 << 16)]], homes[q[i : i + (1 << 16)]]
-        own[i : i + (1 << 16)] = np.where((h[:, :, None] == g[:, None, :]).any(axis=2), h, np.iinfo(np.int64).max).min(axis=1) == shard
+        if "near" in table.column_names:
+            own[i : i + (1 << 16)] = np.where((h[:, :, None] == g[:, None, :]).any(axis=2), h, np.iinfo(np.int64).max).min(axis=1) == shard
+        else:
+            own[i : i + (1 << 16)] = np.minimum(h[:, 0], g[:, 0]) == shard
     if a != b:
         own &= part[p] != part[q]
     p, q = p[own], q[own]
@@ -199,13 +207,28 @@ def _search(table: pa.Table, threshold: float, slack: float, beam: int) -> pa.Ta
     return pa.table({"a": pa.array(np.concatenate([nodes[some], nodes[t[:, 0]]])), "n": pa.array(np.concatenate([count[some], np.zeros(len(t), np.int64)])), "b": pa.array([None] * len(some) + nodes[t[:, 1]].tolist(), pa.int64())})
 
 
-def _index(spark: SparkSession, nodes: DataFrame, count: int, overlap: int) -> DataFrame:
-    """shard, part_a, part_b, part, node, unit, copies, homes: each node in each unit that it belongs to."""
+def _learned(nodes: DataFrame, count: int, overlap: int) -> np.ndarray:
+    """Centroids of a sample of the nodes."""
     k = max(1, min(CENTROIDS, count * overlap // MEAN))
     place = (F.xxhash64("node", F.lit("centroid")) % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
     x = np.array([r["unit"] for r in nodes.where(place < min(1.0, SAMPLE / count)).orderBy("node").select("unit").collect()])
     k = min(k, max(1, len(x) // 4))
-    c = centroids(x, k) if len(x) else np.zeros((1, 1))
+    return centroids(x, k) if len(x) else np.zeros((1, 1))
+
+
+def _units(each: DataFrame) -> DataFrame:
+    """shard, part_a, part_b, part, node, unit, copies, homes, of rows with a shard: each node in each unit that it belongs to."""
+    parts = each.groupBy("shard").count().select("shard", F.ceil(F.col("count") / CAP).cast("int").alias("parts"))
+    # At most CENTROIDS rows.
+    each = each.join(F.broadcast(parts), "shard").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0))
+    other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0))))
+    each = each.withColumn("other", other)
+    return each.select("shard", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "node", "unit", "copies", "homes")
+
+
+def _index(spark: SparkSession, nodes: DataFrame, count: int, overlap: int) -> DataFrame:
+    """The units of nodes that are dealt to the shards of their nearest centroids."""
+    c = _learned(nodes, count, overlap)
     wide = min(overlap, len(c))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +241,66 @@ def _index(spark: SparkSession, nodes: DataFrame, count: int, overlap: int) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top.tolist(), pa.list_(pa.int64()))], names=["node", "unit", "copies", "homes"])
 
     homes = C.scratch(nodes.mapInArrow(assign, "node long, unit array<double>, copies long, homes array<long>"), "homes")
-    each = homes.withColumn("shard", F.explode("homes"))
-    parts = each.groupBy("shard").count().select("shard", F.ceil(F.col("count") / CAP).cast("int").alias("parts"))
-    # At most CENTROIDS rows.
-    each = each.join(F.broadcast(parts), "shard").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0))
-    other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0))))
-    each = each.withColumn("other", other)
-    return each.select("shard", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "node", "unit", "copies", "homes")
+    return _units(homes.withColumn("shard", F.explode("homes")))
+
+
+def merged(c: np.ndarray, angle: float) -> np.ndarray:
+    """A number for each centroid; those that a chain of steps of at most angle joins have the same."""
+    unit = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    close = unit @ unit.T >= math.cos(angle)
+    of = np.full(len(c), -1)
+    for i in range(len(c)):
+        if of[i] < 0:
+            of[i], todo = i, [i]
+            while todo:
+                new = np.flatnonzero(close[todo.pop()] & (of < 0))
+                of[new] = i
+                todo.extend(new.tolist())
+    return of
+
+
+def _index_exact(spark: SparkSession, nodes: DataFrame, count: int, overlap: int, threshold: float) -> DataFrame:
+    """Units in which every pair of at least the threshold meets; homes holds a node's own shard only.
+
+    A node's own shard is that of its nearest centroid. By the triangle inequality of angles, a node within the
+    threshold's angle t of one that has centroid c for its nearest is within its own nearest centroid's angle + 2t of
+    c, and within the radius of c's nodes + t. It is a guest in all such shards of a lower number than its own, and a
+    pair counts in the lower of its own shards. Centroids of a crowded region are one shard, so guests are few there."""
+    c = _learned(nodes, count, overlap)
+    c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    angle = math.acos(max(-1.0, min(1.0, threshold)))
+    shard_of = merged(c, angle)
+
+    def nearest(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angles = np.arccos(np.clip(v @ c.T, -1, 1))
+        return angles, np.argmin(angles, axis=1)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radius = np.full(len(c), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                angles, own = nearest(_matrix(batch.column(0)))
+                np.maximum.at(radius, own, angles[np.arange(len(own)), own])
+        some = np.flatnonzero(np.isfinite(radius))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(radius[some])], names=["c", "r"])
+
+    radius = np.full(len(c), -np.inf)
+    for r in nodes.select("unit").mapInArrow(measure, "c long, r double").groupBy("c").agg(F.max("r").alias("r")).collect():
+        radius[r["c"]] = r["r"]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            angles, own = nearest(_matrix(batch.column(1)))
+            # 1e-6: angles near 0 are that uncertain.
+            most = np.minimum(angles[np.arange(len(own)), own, None] + 2 * angle, radius[None, :] + angle) + 1e-6
+            home = shard_of[own]
+            shards = [np.unique(np.append(g[g < h], h)).tolist() for g, h in ((shard_of[near], h) for near, h in zip(angles <= most, home, strict=True))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[h] for h in home.tolist()], pa.list_(pa.int64())), pa.array(shards, pa.list_(pa.int64()))], names=["node", "unit", "copies", "homes", "shards"])
+
+    homes = C.scratch(nodes.mapInArrow(assign, "node long, unit array<double>, copies long, homes array<long>, shards array<long>"), "homes")
+    return _units(homes.withColumn("shard", F.explode("shards")).drop("shards"))
 
 
 def _linked(spark: SparkSession, nodes: DataFrame, count: int, overlap: int, threshold: float) -> DataFrame:
@@ -235,6 +311,11 @@ def _linked(spark: SparkSession, nodes: DataFrame, count: int, overlap: int, thr
     return C.scratch(whole.groupBy(*UNIT).applyInArrow(lambda t: _search(t, threshold, SLACK, BEAM), "a long, n long, b long"), "links")
 
 
+def _linked_exact(spark: SparkSession, nodes: DataFrame, count: int, overlap: int, threshold: float) -> DataFrame:
+    units = _index_exact(spark, nodes, count, overlap, threshold)
+    return C.scratch(units.groupBy(*UNIT).applyInArrow(lambda t: _search(t, threshold, SLACK, BEAM), "a long, n long, b long"), "links")
+
+
 def audit(spark: SparkSession, nodes: DataFrame, count: int, links: DataFrame, threshold: float = THRESHOLD, most: int = AUDIT) -> tuple[int, int]:
     """Links found and links that there are, of a sample of at most about `most` nodes, by brute force over all nodes."""
     place = (F.xxhash64("node", F.lit("audit")) % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
@@ -278,7 +359,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
         while True:
             links = _linked(spark, nodes, r["count"], wide, threshold)
             got, there = audit(spark, nodes, r["count"], links, threshold)
-            if got >= recall * there or wide >= 4 * overlap:
+            if got >= recall * there:
+                break
+            if wide >= 4 * overlap:
+                links = _linked_exact(spark, nodes, r["count"], overlap, threshold)
+                got, there = audit(spark, nodes, r["count"], links, threshold)
+                if got < recall * there:
+                    raise RuntimeError(f"vectors of length {r['n']}: {got} of {there} audited links found, {recall} wanted")
                 break
             wide *= 2
         found.append(links)

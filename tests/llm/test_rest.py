@@ -172,6 +172,29 @@ def test_embedding_graph(spark, monkeypatch, cap):
     assert all(got[i].n_links == 0 for i in range(1000, 1006)) and got[1006].n_links == got[1007].n_links == 1
 
 
+@pytest.mark.parametrize("cap", [2000, 100])
+def test_embedding_graph_crowded(spark, monkeypatch, cap):
+    """A third of the rows in one group of near copies: every pair is found, though shards of any overlap part them."""
+    monkeypatch.setattr(embed_graph, "CAP", cap)
+    monkeypatch.setattr(embed_graph, "MEAN", 10)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 32))
+    x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.15 * np.linalg.norm(x[0]) / 32**0.5
+    x[300:600] = x[rng.integers(600, 900, 300)] + rng.normal(size=(300, 32)) * 0.2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= embed_graph.THRESHOLD
+    np.fill_diagonal(near, False)
+    got = embed_graph.near_duplicates(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), overlap=1).collect()
+    assert near[:300].sum() > 40_000 and {r.vec_id: r.n_links for r in got} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+def test_embedding_graph_refuses_low_recall(spark, monkeypatch):
+    monkeypatch.setattr(embed_graph, "audit", lambda *_: (1, 2))
+    rows = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="1 of 2"):
+        embed_graph.near_duplicates(spark, rows).count()
+
+
 def test_embedding_graph_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_graph.near_duplicates(spark, none).count() == 0

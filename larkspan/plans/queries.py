@@ -193,6 +193,12 @@ def f01_normalise(spark, d):
     return R.table(spark, d, "conversations").select("conv_id", "turn", F.sha1(X.normalise_placeholder(F.substring("text", 1, 40)).cast("binary")).alias("h"))
 
 
+@query
+def f01_normalise_whole(spark, d):
+    """f01_normalise, whose SQL reads the first 40 characters only, over whole texts."""
+    return R.table(spark, d, "conversations").select("conv_id", "turn", F.sha1(X.normalise_placeholder(F.col("text")).cast("binary")).alias("h"))
+
+
 @query
 def f02_placeholder(spark, d):
     t = R.table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(x) for x in ("No Negative", " nothing. ", "N/A", "Great stay", "", "none!;", "All Good")]), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("t"))
@@ -340,7 +346,7 @@ def f36_stratum_key(spark, d):
 
 @query
 def f40_coercion(spark, d):
-    e = R.table(spark, d, "events").select(F.substring("props", 6, 40).alias("t"))
+    e = R.table(spark, d, "events").select(F.expr("substring(props, 6)").alias("t"))
     n = F.regexp_extract("t", r"(\d+)", 1).try_cast("bigint")
     return e.agg(F.count("*").alias("n"), F.count(F.when(n.isNotNull() & (n >= 0), 1)).alias("counts"), F.count(F.when(F.col("t").try_cast("boolean").isNotNull(), 1)).alias("flags"))
 

@@ -1,5 +1,6 @@
 """Operators on small made-up data."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -245,3 +246,12 @@ def test_contract_without_llm():
 
     code = "import sys; sys.modules['larkspan.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert e.queries() and not any(n.startswith('op') for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+
+
+def test_whole_texts_and_props(spark, sf, tmp_path):
+    rows = {(r.conv_id, r.turn): r.h for r in QUERIES["f01_normalise_whole"](spark, sf).collect()}
+    texts = R.table(spark, sf, "conversations").select("conv_id", "turn", "text").collect()
+    assert max(len(r.text or "") for r in texts) > 40
+    assert rows == {(r.conv_id, r.turn): hashlib.sha1(" ".join((r.text or "").lower().split()).encode()).hexdigest() for r in texts}
+    spark.createDataFrame([('{"k":' + " " * 60 + "7}",)], "props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["f40_coercion"](spark, str(tmp_path)).first()["counts"] == 1

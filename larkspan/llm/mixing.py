@@ -24,7 +24,7 @@ BLOCK, BUCKET, CHUNK, CELLS = 32, 2_000, 1 << 14, 1024
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Golden ratio's fraction, and that of 2^14 times it.
 _PHI = (math.sqrt(5) - 1) / 2
-_PHI_CHUNK = 10125.998896408247 % 1
+_PHI_CHUNK = (CHUNK * _PHI) % 1
 
 
 def words(text: Column) -> Column:

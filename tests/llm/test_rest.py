@@ -195,6 +195,17 @@ def test_embedding_graph_refuses_low_recall(spark, monkeypatch):
         embed_graph.near_duplicates(spark, rows).count()
 
 
+def test_mixing_points_over_chunks():
+    """The points of all chunks are one golden-ratio sequence, of low discrepancy."""
+    n = 700_000
+    slot = np.arange(n)
+    points = (slot // mixing.CHUNK * mixing._PHI_CHUNK + (slot % mixing.CHUNK + 1) * mixing._PHI) % 1
+    gap = np.abs(points - (slot + 1) * mixing._PHI % 1)
+    assert np.minimum(gap, 1 - gap).max() < 1e-6
+    p = np.sort(points) * n
+    assert max((slot + 1 - p).max(), (p - slot).max()) < 6
+
+
 def test_embedding_graph_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_graph.near_duplicates(spark, none).count() == 0

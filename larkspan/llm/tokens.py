@@ -50,7 +50,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         self.keep_space = self.inner.normalizer is None
         mark = self.inner.encode(_RARE, add_special_tokens=False).ids
         self.rare = mark[0] if len(mark) == 1 and not self.keep_space else None
@@ -59,8 +58,9 @@ class Encoder:
             steps = json.loads(self.inner.normalizer.__getstate__()).get("normalizers", [])
             if [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]:
                 self.bare = Tokenizer.from_file(path)
-                self.bare.encode_special_tokens = True
                 self.bare.normalizer = None
+        marks = [re.escape(t.content) for t in self.inner.get_added_tokens_decoder().values() if t.special and t.content]
+        self.marks = "(?i)" + "|".join(marks) if marks else None
         self._clear()
 
     def _clear(self) -> None:
@@ -149,7 +149,12 @@ class Encoder:
         if n == 0:
             return []
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        whole, odd = texts, np.zeros(n, bool)
+        whole, odd, marked = texts, np.zeros(n, bool), np.zeros(n, bool)
+        if self.marks is not None:
+            # A text with a special token's name goes to the tokenizer as it is.
+            marked = pc.match_substring_regex(texts, self.marks).to_numpy(zero_copy_only=False)
+            if marked.any():
+                texts = pc.if_else(pa.array(marked), "", texts).cast(pa.large_string())
         if self.keep_space:
             odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
             texts = pc.replace_substring_regex(pc.if_else(pa.array(odd), "", texts), _MARK + _AFTER, rf"\1{_SEP}\2{_SEP}\3")
@@ -173,6 +178,8 @@ class Encoder:
             names = list(dict.fromkeys(chunks))
             number = dict(zip(names, self._look(names).tolist(), strict=True))
             out[k] = np.concatenate([self.flat[self.start[i] : self.start[i] + self.size[i]] for i in map(number.get, chunks)])
+        for k in np.flatnonzero(marked).tolist():
+            out[k] = np.array(self.inner.encode(whole[k].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -311,3 +312,14 @@ def test_importance_resampling(spark, sf, docs, none):
         assert r.n_features == len(b) and abs(r.log_weight - (quality.LENGTH * ratio[b].mean() if len(b) else 0)) < 1e-6
     assert quality.resample(spark, none, good).count() == 0
     assert {r.log_weight for r in quality.resample(spark, docs, good.where("id < 0")).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_as_in_a_fresh_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name)
+    fresh = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> x", "a<|endoftext|>b", "<|ENDOFTEXT|> A  b.", "plain text, no mark. ", "<|startoftext|>", "end <|endoftext|>", ""]
+    got = Encoder(path).encode(pa.array(texts))
+    assert [g.tolist() for g in got] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]

@@ -66,7 +66,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ends = b[h + w - 1 : h + n]
                 h64 = np.fromiter([digest(line[x:y], SEED) for x, y in zip(a[h : h + n - w + 1].tolist(), ends.tolist(), strict=True)], np.uint64, n - w + 1)
                 out[i + k] = np.uint64(fingerprint(h64)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -130,23 +130,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """A row for each text: doc_id, fp (long), component_id."""
     C.arrow_limits(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = C.scratch(source.mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
+    return _found(source, "doc_id long, fp long", radius, most).select("doc_id", "fp", "component_id")
+
+
+def _found(source: DataFrame, schema: str, radius: int, most: int) -> DataFrame:
+    """source: doc_id, text and others. The columns of schema, which are doc_id, fp and the others, root and component_id."""
+    prints = C.scratch(source.mapInArrow(_fingerprints, schema), "prints")
     nodes = C.scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = C.scratch(components(links(nodes.select("fp"), radius, most)).withColumnRenamed("node", "fp").join(nodes, "fp"), "roots")
     least = C.scratch(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    linked = C.scratch(roots.join(least, "root").select("fp", "component_id"), "linked")
-    whole = C.scratch(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+    linked = C.scratch(roots.join(least, "root").select("fp", "root", "component_id"), "linked")
+    whole = C.scratch(nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id")), "components")
+    return prints.join(whole, "fp")
 
 
 def fingerprint_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id stands for its component, one for each; all columns stay. Null ids are one id."""
-    found = C.scratch(near_duplicates(spark, docs, id_col, text_col, **options), "found")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates([id_col])
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """One row of docs for each component, that of the least id (null first) and then text hash; all columns stay. A row
+    is known by its id and text hash, so rows that share an id but not the text do not go with one another."""
+    C.arrow_limits(spark)
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    found = _found(source, "doc_id long, fp long, h long", radius, most).select("root", F.struct("doc_id", "h").alias("row"))
+    rows = C.scratch(found.groupBy("root", "row").count(), "rows")
+    first = C.scratch(rows.groupBy("root").agg(F.min("row").alias("first")), "first")
+    gone = rows.join(first, "root").where("row != first").select(F.col("row.doc_id").alias("_gone"), F.col("row.h").alias("_gone_h"))
+    # The names are not looked up in docs, which may have the same.
+    hash_of = F.xxhash64(docs[text_col].cast("string"))
+    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (hash_of == gone["_gone_h"]), "left_anti")
+    again = rows.join(first, "root").where("row = first AND count > 1")
+    if again.isEmpty():
+        return kept
+    key = "_h"
+    while key in docs.columns:
+        key += "_"
+    return kept.withColumn(key, F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, key]).drop(key)

@@ -131,6 +131,15 @@ def test_dedup_keeps_one_of_each(spark, odd, none):
     assert simhash.dedup(spark, none).count() == 0
 
 
+def test_dedup_by_row(spark):
+    """Rows with a null or a repeated id keep their own texts."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (8, texts[3]), (8, texts[4]), (9, texts[5]), (9, texts[5])]
+    kept = simhash.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5])]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_chunks_encoded_together(name):

@@ -92,6 +92,14 @@ def pair_similarity(edges: DataFrame, panel: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("edges"), F.round(F.avg("diff"), 9).alias("mean_diff"))
 
 
+def pair_score_difference(edges: DataFrame, panel: DataFrame) -> DataFrame:
+    """Mean over edges of the difference of the mean scores of both ends, which have one each in a panel of one period."""
+    scores = panel.groupBy("unit").agg(F.first("mean_score", ignorenulls=True).alias("score"))
+    own = edges.select("unit", "peer").join(scores, "unit")
+    both = own.join(scores.select(F.col("unit").alias("peer"), F.col("score").alias("score2")), "peer")
+    return both.agg(F.round(F.avg(F.abs(F.col("score") - F.col("score2"))), 9).alias("mean_score_diff"))
+
+
 def delta_correlation(edges: DataFrame, deltas: DataFrame, least: int = 20) -> DataFrame:
     """Correlation of changes of both ends of an edge, by aspect; null below a number of rows."""
     own = edges.select("unit", "peer").join(deltas.select("unit", "period", "aspect", "delta"), "unit")

@@ -410,11 +410,21 @@ def v03_peer_integrity(spark, d):
     return peers.integrity(t.edges, t.places)
 
 
+def _last_panel(t: Tables) -> DataFrame:
+    last = snap.last_complete(panel.complete_periods(t.mentions, t.kind))
+    return t.panel.where(F.col("period") == last)
+
+
 @query
 def j13_pair_similarity(spark, d):
     t = T(spark, d)
-    last = t.panel.where("period = '2000'")
-    return peers.pair_similarity(t.edges, last)
+    return peers.pair_similarity(t.edges, _last_panel(t))
+
+
+@query
+def j13_pair_score_difference(spark, d):
+    t = T(spark, d)
+    return peers.pair_score_difference(t.edges, _last_panel(t))
 
 
 @query

@@ -255,3 +255,13 @@ def test_whole_texts_and_props(spark, sf, tmp_path):
     assert rows == {(r.conv_id, r.turn): hashlib.sha1(" ".join((r.text or "").lower().split()).encode()).hexdigest() for r in texts}
     spark.createDataFrame([('{"k":' + " " * 60 + "7}",)], "props string").write.parquet(str(tmp_path / "events.parquet"))
     assert QUERIES["f40_coercion"](spark, str(tmp_path)).first()["counts"] == 1
+
+
+def test_pair_similarity_of_the_last_complete_period(spark, sf, monkeypatch):
+    t = Tables(spark, sf)
+    monkeypatch.setattr(snapshot, "last_complete", lambda periods: "1997")
+    then = t.panel.where("period = '1997'")
+    assert QUERIES["j13_pair_similarity"](spark, sf).first() == peers.pair_similarity(t.edges, then).first()
+    score = {r.unit: r.mean_score for r in then.collect() if r.mean_score is not None}
+    want = np.mean([abs(score[r.unit] - score[r.peer]) for r in t.edges.collect() if r.unit in score and r.peer in score])
+    assert abs(QUERIES["j13_pair_score_difference"](spark, sf).first().mean_score_diff - want) < 1e-8

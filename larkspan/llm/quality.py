@@ -6,8 +6,9 @@ its log importance weight. Gumbel noise keyed by the id is added, and the `share
 selected: sampling without replacement by weight.
 
 The raw model counts all texts; `sample` bounds the labelled texts that the target model is learned from (in expectation,
-by a hash of the id). Null and texts without a word have weight 0 as long as there are models. Ties go to the smaller
-id. Without any labelled text all weights are 0. Repeated rows are told apart. Columns other than those named are ignored.
+by a hash of the id). Null and texts without a word have weight 0 as long as there are models; a very long text counts like
+any other. Ties go to the smaller id, null first. Without any labelled text all weights are 0. Rows that share an id share its noise, but are
+told apart: exactly the share is selected. An empty table gives an empty table. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -87,51 +88,53 @@ def weigh(spark: SparkSession, docs: DataFrame, ratio: np.ndarray | None, id_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_features long, log_weight double")
 
 
-def largest(rows: DataFrame, k: int, key: str, tie: str, step: int = 12) -> DataFrame:
-    """rows (in files) with a boolean `selected`: the k largest by key, ties by the smaller `tie`, then any order.
-
-    The k-th value is found digit by digit: each round counts the rows by the next bits of an order-preserving code.
-    """
-    # Keys of moderate size as integers of 52 bits; equal codes are told apart by the tie.
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None or k <= 0:
-        return rows.withColumn("selected", F.lit(False))
-    span = max(high - low, 1e-300)
-    code = F.floor((F.lit(high) - F.col(key)) / span * float((1 << 48) - 1)).cast("long")
-    rows = rows.withColumn("_code", code)
-    prefix, left, bits = 0, k, 48
-    inside = rows
+def _kth(rows: DataFrame, code: Column, bits: int, k: int, step: int = 12) -> tuple[int, int]:
+    """The k-th smallest value of an unsigned code of so many bits, and how many of the k have it: found digit by digit, a
+    count by the next digit each time. There are k rows at least."""
+    prefix, left = 0, k
     while bits:
+        step = min(step, bits)
         bits -= step
-        digit = F.shiftright("_code", bits).bitwiseAND((1 << step) - 1)
-        counts = {r["d"]: r["n"] for r in inside.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()}
+        digit = F.shiftrightunsigned(code, bits)
+        inside = rows.where(F.shiftrightunsigned(digit, step) == prefix)
+        counts = {r["d"]: r["n"] for r in inside.groupBy(digit.bitwiseAND((1 << step) - 1).alias("d")).agg(F.count("*").alias("n")).collect()}
         for d in sorted(counts):
             if counts[d] >= left:
                 break
             left -= counts[d]
-        else:
-            return rows.withColumn("selected", F.lit(True)).drop("_code")
         prefix = prefix << step | d
-        inside = rows.where(F.shiftright("_code", bits) == prefix)
-    # `left` of those with the k-th code: by id, in the same way.
-    ids, want = inside.select(F.coalesce(F.col(tie), F.lit(-(1 << 62))).alias("t")), left
-    lo, hi = ids.agg(F.min("t"), F.max("t")).first()
-    while lo < hi:  # the least id that at least `want` rows reach
-        mid = (lo + hi) // 2
-        if ids.where(F.col("t") <= mid).count() >= want:
-            hi = mid
-        else:
-            lo = mid + 1
-    tied = F.coalesce(F.col(tie), F.lit(-(1 << 62))) <= lo
-    return rows.withColumn("selected", (F.col("_code") < prefix) | ((F.col("_code") == prefix) & tied)).drop("_code")
+    return prefix, left
+
+
+def largest(rows: DataFrame, k: int, key: str, tie: str, place: str) -> DataFrame:
+    """rows (in files) with a boolean `selected`: exactly the k largest by key, ties by the smaller `tie` (null first),
+    then by the smaller `place`, which no two rows share; all rows if there are no more than k."""
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    if low is None or k <= 0 or k >= n:
+        return rows.withColumn("selected", F.lit(k > 0))
+    # Keys of moderate size as integers of 48 bits, the largest first; longs in order as unsigned ones.
+    span = max(high - low, 1e-300)
+    first = F.floor((F.lit(high) - F.col(key)) / span * float((1 << 48) - 1)).cast("long")
+    second = F.coalesce(F.col(tie), F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))
+    a, left = _kth(rows, first, 48, k)
+    same = rows.where(first == a)
+    b, left = _kth(same, second, 64, left)
+    b -= (b >> 63) << 64
+    same = same.where(second == b)
+    c, _ = _kth(same, F.col(place), 63, left)
+    # XOR with the sign bit turns the unsigned order of ids into the signed one.
+    signed = F.coalesce(F.col(tie), F.lit(-(1 << 63)))
+    edge = b ^ -(1 << 63)
+    chosen = (first < a) | ((first == a) & ((signed < edge) | ((signed == edge) & (F.col(place) <= c))))
+    return rows.withColumn("selected", chosen)
 
 
 def resample(spark: SparkSession, docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """A row for each text: doc_id, n_features, log_weight, score (0 to 1), gumbel_key, selected."""
     ratio = models(spark, docs, good, id_col, text_col, sample)
-    weights = C.scratch(weigh(spark, docs, ratio, id_col, text_col), "weights")
+    weights = C.scratch(weigh(spark, docs, ratio, id_col, text_col).withColumn("place", F.monotonically_increasing_id()), "weights")
     n = weights.count()
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12) + 0.5) / float(1 << 52)
     keyed = weights.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     score = 1 / (1 + F.exp(-F.col("log_weight")))
-    return largest(keyed.withColumn("score", score), math.ceil(share * n), "gumbel_key", "doc_id").select("doc_id", "n_features", "log_weight", "score", "gumbel_key", "selected")
+    return largest(keyed.withColumn("score", score), math.ceil(share * n), "gumbel_key", "doc_id", "place").select("doc_id", "n_features", "log_weight", "score", "gumbel_key", "selected")

@@ -7,7 +7,8 @@ of the difference of ranks, or the longest possible one for n-grams that the pro
 Profiles are learned from labelled texts, all of each text. `sample` bounds the texts learned from per language (in
 expectation, by a hash of the id); it is a parameter. Null texts and texts without a letter are `und`, with score 0.
 Null ids and null labels teach nothing. Ties go to the language that sorts first; with nothing learned all is `und`.
-Repeated rows give repeated results. Columns other than those named are ignored.
+Repeated rows give repeated results, an empty table an empty one; a very long text is read in stretches. Columns other
+than those named are ignored.
 """
 
 from __future__ import annotations
@@ -26,25 +27,55 @@ from . import common as C
 
 #: n-grams in a profile; texts learned from per language; languages at most, as profiles are sent to all tasks.
 PROFILE, SAMPLE, LANGUAGES = 300, 3000, 1000
+#: Characters of a text that are read at a time.
+STRETCH = 1 << 20
 
 _OTHER = re.compile(r"[\W\d_]+")
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes of all n-grams of a text: 16 bits a character, the last in the lowest."""
+def _letters(text: str) -> np.ndarray:
     s = _OTHER.sub(" ", f" {text.lower()} ")
-    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 0xFFFF
-    if len(c) < 2:
-        return np.zeros(0, np.int64)
-    two = c[:-1] << 16 | c[1:]
-    three = c[:-2] << 32 | two[1:]
-    return np.concatenate([c[c != 32], two, three])
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def profile(codes: np.ndarray, most: int = PROFILE) -> np.ndarray:
+def _grams(c: np.ndarray, n: int) -> np.ndarray:
+    """Codes of the n-grams that begin at the first n characters: 21 bits a character, the last in the lowest."""
+    c = c.astype(np.int64)
+    two = c[:-1] << 21 | c[1:]
+    one = c[:n]
+    return np.concatenate([one[one != 32], two[:n], (c[:-2] << 42 | two[1:])[:n]])
+
+
+def ngrams(text: str) -> np.ndarray:
+    """Codes of all n-grams of a text."""
+    c = _letters(text)
+    return _grams(c, len(c)) if len(c) > 1 else np.zeros(0, np.int64)
+
+
+def counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order and how often each comes, or the sums of n."""
+    order = np.argsort(codes, kind="stable") if n is not None else None
+    codes = np.sort(codes) if order is None else codes[order]
+    edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[edge], np.diff(np.append(edge, len(codes))) if order is None else np.add.reduceat(n[order], edge) if len(edge) else n
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of a text and how often each comes. A very long one is counted a stretch at a time."""
+    c = _letters(text)
+    if len(c) <= STRETCH:
+        return counted(_grams(c, len(c)) if len(c) > 1 else np.zeros(0, np.int64))
+    parts = [counted(_grams(c[i : i + STRETCH + 2], STRETCH)) for i in range(0, len(c), STRETCH)]
+    return counted(np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
+def ranked(codes: np.ndarray, n: np.ndarray, most: int = PROFILE) -> np.ndarray:
     """The most frequent codes, most frequent first, equal ones by code."""
-    u, n = np.unique(codes, return_counts=True)
-    return u[np.argsort(-n, kind="stable")[:most]]
+    return codes[np.argsort(-n, kind="stable")[:most]]
+
+
+def profile(codes: np.ndarray, most: int = PROFILE) -> np.ndarray:
+    return ranked(*counted(codes), most)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,7 +100,14 @@ def learn(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             langs = np.array(batch.column(0).to_pylist(), object)
             texts = batch.column(1)
             for lang in sorted(set(langs)):
-                u, n = np.unique(np.concatenate([ngrams(texts[int(i)].as_py()) for i in np.flatnonzero(langs == lang)]), return_counts=True)
+                u, n, parts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+                for i in np.flatnonzero(langs == lang).tolist():
+                    parts.append(gram_counts(texts[i].as_py()))
+                    held += len(parts[-1][0])
+                    if held > STRETCH:
+                        u, n = counted(np.concatenate([u, *(c for c, _ in parts)]), np.concatenate([n, *(k for _, k in parts)]))
+                        parts, held = [], 0
+                u, n = counted(np.concatenate([u, *(c for c, _ in parts)]), np.concatenate([n, *(k for _, k in parts)]))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u), pa.array(n)], names=["lang", "code", "n"])
 
     sums = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -94,7 +132,7 @@ class Judge:
             return "und", 0.0
         if not any(map(str.isalpha, text)):
             return "und", 0.0
-        mine = profile(ngrams(text), self.most)
+        mine = ranked(*gram_counts(text), self.most)
         at = np.searchsorted(self.codes, mine)
         at[at == len(self.codes)] = 0
         at = np.where(self.codes[at] == mine, at, len(self.codes))

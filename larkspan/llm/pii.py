@@ -3,14 +3,17 @@
 Validated numbers and dates, and the private strings around them, are permuted within their format: a card number
 becomes another one that passes the same check, a date another date, an address another address. The permutation
 depends on the key and the kind alone, so equal values stay equal across documents, and whoever holds the key can
-invert it. Numbers that fail their check are no personal data and stay as they are.
+invert it: a day is one day however it is written, an address one address in small letters or capitals. Numbers that
+fail their check are no personal data and stay as they are.
 
 A card or IBAN may stand next to other groups of digits or letters, so all runs of groups are tried, from each group on.
 Where a pseudonym would make another run next to it pass, it is permuted again, so the text can be inverted; only such
 values depend on what is next to them.
 
-Kinds: card (Luhn), iban (mod 97), ssn, phone, ip, date, email, secret. Nulls stay null, texts without a finding stay
-byte for byte, repeated rows give equal rows, and the columns given stay as they are but for the text.
+Kinds: card (Luhn), iban (mod 97), ssn, phone, ip, date, email, secret. Nulls stay null, texts without a finding, empty
+ones among them, stay byte for byte; time grows with a text's length and findings, not their product. Repeated rows give
+equal rows, an empty table an empty one, and the columns given stay as they are but for the text; pii_kinds and
+pii_count replace columns of these names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from . import common as C
 
 ROUNDS = 8
 DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SMALL, _CAPITAL = str.maketrans(UPPERS, LOWERS), str.maketrans(LOWERS, UPPERS)
 
 
 def _round(key: bytes, tweak: bytes, i: int, half: int, bits: int) -> int:
@@ -170,29 +174,34 @@ _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 def _date(m: str, key: bytes, back: bool) -> str | None:
     sep = re.search(r"\D", m)[0]
     a, b, c = m.split(sep)
-    # Year first, else day first; month first only where day first is no date. All orders have their own permutation.
+    # Year first, else day first; month first only where day first is no date, so such a day is above 12.
     for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
         part = dict(zip(order, (a, b, c), strict=True))
         try:
-            day = date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal()
+            old = date(int(part["y"]), int(part["m"]), int(part["d"]))
         except ValueError:
             continue
-        if not _FIRST <= day <= _LAST:
+        if not _FIRST <= old.toordinal() <= _LAST:
             return None
-        while True:
-            day = _FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, b"date" + order.encode(), back)
-            new = date.fromordinal(day)
-            if order != "mdy" or new.day > 12:  # a result that reads as day first would not be inverted
-                break
+        # One permutation for all ways to write a day. Days above 12 stay above 12, so each way reads as before.
+        new = old
+        while new is old or (new.day > 12) != (old.day > 12):
+            new = date.fromordinal(_FIRST + permute(new.toordinal() - _FIRST, _LAST - _FIRST + 1, key, b"date", back))
         fields = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         return sep.join(fields[x] for x in order)
     return None
 
 
+def _caseless(text: str, key: bytes, tweak: bytes, back: bool) -> str:
+    """Permuted in small letters; capitals are put back where they stood."""
+    new = permute_text(text.translate(_SMALL), key, tweak, back)
+    return "".join(n.translate(_CAPITAL) if o in UPPERS else n for o, n in zip(text, new, strict=True))
+
+
 def _email(m: str, key: bytes, back: bool) -> str | None:
     local, domain = m.rsplit("@", 1)
     host, _, top = domain.rpartition(".")
-    return f"{permute_text(local, key, b'local', back)}@{permute_text(host, key, b'host', back)}.{top}"
+    return f"{_caseless(local, key, b'local', back)}@{_caseless(host, key, b'host', back)}.{top}"
 
 
 def _secret(m: str, key: bytes, back: bool) -> str | None:
@@ -211,6 +220,7 @@ KINDS: list[Kind] = [
     ("iban", lambda t: True, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("phone", lambda t: "+" in t, re.compile(rf"\+\d{{1,3}}{_JUNK}\(?\d{{2,4}}\)?{_JUNK}\d{{3,4}}{_JUNK}\d{{2,4}}(?:{_JUNK}\d{{2,4}})?(?!\w)"), _phone),
     ("phone", lambda t: "(" in t, re.compile(r"(?<![\w+])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\w)"), _phone),
+    ("phone", lambda t: True, re.compile(r"(?<![\w+.\-])[2-9]\d{2}([\-.])\d{3}\1\d{4}(?![\w\-]|\.\d)"), _phone),
     ("ip", lambda t: True, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
     ("date", lambda t: True, re.compile(r"(?<![\w./\-])(?:\d{4}([\-/.])\d{2}\1\d{2}|\d{2}([\-/.])\d{2}\2\d{4})(?![\w/\-]|\.\d)"), _date),
     ("ssn", lambda t: "-" in t, re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"), _ssn),
@@ -283,8 +293,11 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[s
                 at = b
             found += _inner("".join(rest) + text[at:], kind, pattern, replace, key, back)
             continue
+        earlier, k = sorted((a, b) for a, b, _, _ in found), 0
         for m in pattern.finditer(text):
-            if any(m.start() < b and a < m.end() for a, b, _, _ in found):
+            while k < len(earlier) and earlier[k][1] <= m.start():
+                k += 1
+            if k < len(earlier) and earlier[k][0] < m.end():
                 continue
             new = replace(m[0], key, back)
             if new is not None:

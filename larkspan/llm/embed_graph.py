@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Equal vectors are one node. Nodes are dealt to the shards of their nearest centroids, two or more each, so shards
-overlap. In each shard every node gets robustly pruned edges to near nodes; the lists of all shards are united. In each
+overlap. There are as many shards as keep their mean size, whatever the number of rows: beyond what one set of centroids
+can make, further sets divide the residuals. In each shard every node gets robustly pruned edges to near nodes; the lists of all shards are united. In each
 shard all its nodes then search the united graph: greedily from the medoid, and from every node found in range on
 through all nodes in range. Pairs are verified by their cosine in double precision. Recall is audited against brute
 force for a sample of nodes; if it is too low, the shards overlap more and all is done again.
@@ -31,7 +32,7 @@ from .graph import components
 THRESHOLD, SLACK = 0.95, 0.05
 #: Nodes of a shard on average and at most; shards of a node; edges of a node; nodes kept in a search.
 MEAN, CAP, OVERLAP, DEGREE, BEAM = 600, 2000, 3, 20, 24
-#: Nodes that centroids are learned from, and centroids, at most; nodes audited at most.
+#: Nodes that centroids are learned from, and centroids of a level, at most; nodes audited at most.
 SAMPLE, CENTROIDS, AUDIT = 20_000, 4096, 200
 #: Pruning: an edge is left out if a nearer neighbour is nearer to its end by this factor.
 ALPHA = 1.2
@@ -50,6 +51,19 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Plain k-means with a fixed start."""
+    rng = np.random.default_rng(6)
+    c = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
+    for _ in range(rounds):
+        own = np.concatenate([_farness(x[i : i + 1024], c).argmin(axis=1) for i in range(0, len(x), 1024)])
+        n = np.bincount(own, minlength=k)
+        new = np.zeros_like(c)
+        np.add.at(new, own, x)
+        c = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], c)
+    return c
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """The pruned out-edges of each row of unit vectors, with those back added up to twice the degree."""
     n = len(x)
@@ -207,37 +221,79 @@ def _search(table: pa.Table, threshold: float, slack: float, beam: int) -> pa.Ta
     return pa.table({"a": pa.array(np.concatenate([nodes[some], nodes[t[:, 0]]])), "n": pa.array(np.concatenate([count[some], np.zeros(len(t), np.int64)])), "b": pa.array([None] * len(some) + nodes[t[:, 1]].tolist(), pa.int64())})
 
 
+def _sample(nodes: DataFrame, count: int) -> np.ndarray:
+    place = (F.xxhash64("node", F.lit("centroid")) % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
+    return np.array([r["unit"] for r in nodes.where(place < min(1.0, SAMPLE / count)).orderBy("node").select("unit").collect()])
+
+
 def _learned(nodes: DataFrame, count: int, overlap: int) -> np.ndarray:
     """Centroids of a sample of the nodes."""
-    k = max(1, min(CENTROIDS, count * overlap // MEAN))
-    place = (F.xxhash64("node", F.lit("centroid")) % 1_000_000 + 1_000_000) % 1_000_000 / 1e6
-    x = np.array([r["unit"] for r in nodes.where(place < min(1.0, SAMPLE / count)).orderBy("node").select("unit").collect()])
-    k = min(k, max(1, len(x) // 4))
+    x = _sample(nodes, count)
+    k = max(1, min(CENTROIDS, count * overlap // MEAN, len(x) // 4))
     return centroids(x, k) if len(x) else np.zeros((1, 1))
 
 
+def codebooks(x: np.ndarray, cells: int) -> list[np.ndarray]:
+    """Centroids in levels: each further level divides the residuals that the ones before leave, alike in all their cells.
+    A level has at most CENTROIDS and a quarter of the sample, so few centroids make as many cells as are wanted."""
+    books: list[np.ndarray] = []
+    most = max(2, min(CENTROIDS, len(x) // 4))
+    rest = x
+    while cells > 1 or not books:
+        k = max(1, min(cells, most))
+        book = centroids(rest, k) if not books else means(rest, k)
+        books.append(book)
+        near = np.concatenate([_farness(rest[i : i + 1024], book).argmin(axis=1) for i in range(0, len(rest), 1024)])
+        rest = rest - book[near]
+        cells = -(-cells // max(2, k))
+    return books
+
+
+def _farness(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids, less the rows' own squares."""
+    return (book**2).sum(axis=1) - 2 * (x @ book.T)
+
+
+def cells_of(v: np.ndarray, books: list[np.ndarray], wide: int) -> np.ndarray:
+    """The numbers of the `wide` cells found nearest to each row, by a search that keeps as many at each level; sorted."""
+    out = []
+    for i in range(0, len(v), 256):
+        x = v[i : i + 256]
+        rest, cell = x[:, None, :], np.zeros((len(x), 1), np.int64)
+        for book in books:
+            far = (rest**2).sum(axis=2)[:, :, None] + _farness(rest.reshape(-1, rest.shape[2]), book).reshape(len(x), rest.shape[1], -1)
+            far = far.reshape(len(x), -1)
+            n = min(wide, far.shape[1])
+            best = np.argpartition(far, n - 1, axis=1)[:, :n]
+            old, new = best // len(book), best % len(book)
+            cell = np.take_along_axis(cell, old, 1) * len(book) + new
+            rest = np.take_along_axis(rest, old[:, :, None], 1) - book[new]
+        out.append(np.sort(cell, axis=1))
+    return np.concatenate(out)
+
+
 def _units(each: DataFrame) -> DataFrame:
     """shard, part_a, part_b, part, node, unit, copies, homes, of rows with a shard: each node in each unit that it belongs to."""
     parts = each.groupBy("shard").count().select("shard", F.ceil(F.col("count") / CAP).cast("int").alias("parts"))
-    # At most CENTROIDS rows.
-    each = each.join(F.broadcast(parts), "shard").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0))
+    # A row a shard, of which there is one for some hundreds of nodes; Spark broadcasts them if they are few.
+    each = each.join(parts, "shard").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0))
     other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0))))
     each = each.withColumn("other", other)
     return each.select("shard", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "node", "unit", "copies", "homes")
 
 
 def _index(spark: SparkSession, nodes: DataFrame, count: int, overlap: int) -> DataFrame:
-    """The units of nodes that are dealt to the shards of their nearest centroids."""
-    c = _learned(nodes, count, overlap)
-    wide = min(overlap, len(c))
+    """The units of nodes that are dealt to the shards of their nearest centroids, in as many levels as keep shards small."""
+    x = _sample(nodes, count)
+    books = codebooks(x, max(1, count * overlap // MEAN)) if len(x) else [np.zeros((1, 1))]
+    wide = min(overlap, math.prod(map(len, books)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column(1))
-            sims = v @ c.T if v.shape[1] == c.shape[1] else np.zeros((len(v), len(c)))
-            top = np.sort(np.argpartition(-sims, wide - 1, axis=1)[:, :wide], axis=1)
+            top = cells_of(v, books, wide) if v.shape[1] == books[0].shape[1] else np.zeros((len(v), wide), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top.tolist(), pa.list_(pa.int64()))], names=["node", "unit", "copies", "homes"])
 
     homes = C.scratch(nodes.mapInArrow(assign, "node long, unit array<double>, copies long, homes array<long>"), "homes")

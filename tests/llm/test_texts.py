@@ -141,27 +141,41 @@ def test_dedup_by_row(spark):
 
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_chunks_encoded_together(name):
-    """Texts that hold the word put between chunks are encoded as if it were any other."""
-    import pyarrow as pa
+#: Pieces of the texts that the encoder is tried on: contractions, white space, marks that combine, letters whose lower
+#: case is longer, special tokens and their look-alikes, scripts with and without cases.
+BITS = ["a", "B", "s", "t", "re", "'", "'s", "'LL", "\u2019", " ", "  ", "   ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u3000", " ", ".", ",", "!?", "%&", "1", "23", "\xb2", "\xbd", "e\u0301", "\xc9", "\u0301", "\u0308", "\u0130", "i\u0307", "\u0131", "\u017f", "\xdf", "\u1e9e", "\u03a3", "\u03c2", "\u2126", "\u212a", "\u212b", "\xb5", "\xaa", "\u01c5", "\u0149", "\u01f0", "\u1100\u1161\u11a8", "\ud55c", "\u6f22\u5b57", "\u304b\u3099", "\u304c", "\U0001f600", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "\x00", "\x01", "\u200b", "\u200d", "\ufeff", "\u03c9", "\u0915\u094d", "\u092f\u093c", "T\u0308", "x", "the", "Word", "don't", "I'm", "$", "_", "-", "\u0344", "\u2167", "\u24b6", "\ufb01", "\u0661", "''", "' ", " '", "\xad", "\u13a0", "\U00010400"]
 
-    e = Encoder(tokenizer_path(name))
-    texts = ["\u03c9", "a \u03c9 b", "\u03a9 \u03a9 \u03c9", "x \u03c9, y", None, "", "  ", "\u03c9" * 5, " \u0301x \u03c9   z", *(f"w{i} {i}" for i in range(2000)), *(f"a{chr(i)}b {chr(i)} x{chr(i)}" for i in range(0x260)), "e\u0301te\u0301 \u03a3\u03a3"]
-    want = [e.inner.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in e.encode(pa.array(texts))] == want
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoding_equals_a_fresh_tokenizer(docs, name):
+    """Ids of the library's plain call for whole texts: real ones, each Latin character in turn, and made-up ones."""
+    import random
 
-def test_chunked_encoding_equals_whole(docs):
-    import pyarrow as pa
+    from tokenizers import Tokenizer
 
-    texts = [r.text or "" for r in docs.where("length(text) < 20000 OR text IS NULL").select("text").collect()]
-    texts += ["a  b", " lead", "trail ", "tab\t x", "x \n y", "it's 'll", "　wide　 space", "a\x1f b", "<|endoftext|> x", "Ünï côdé don't", "é é e ́x"]
-    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        e = encoder(tokenizer_path(name))
-        whole = [x.ids for x in e.inner.encode_batch(texts, add_special_tokens=False)]
-        assert [x.tolist() for x in e.encode(pa.array(texts))] == whole
-        assert [x.tolist() for x in e.encode(pa.array([None, "a b"]))][0] == []
+    path = tokenizer_path(name)
+    fresh, mine = Tokenizer.from_file(path), Encoder(path)
+    assert mine.kind == name[:4] and mine.direct is not None
+    draw = random.Random(5)
+    texts = [r.text for r in docs.where("length(text) < 20000 OR text IS NULL").select("text").collect()]
+    texts += [f"a{chr(i)}b {chr(i)} x{chr(i)}  {chr(i)}y{chr(i).lower()}" for i in range(0x260)]
+    texts += ["".join(draw.choice(BITS) for _ in range(draw.randint(0, 14))) for _ in range(12_000)]
+    texts += ["".join(draw.choice("a\xe9 \n'sT.1\xc9!Z ") for _ in range(draw.randint(0, 20))) for _ in range(6000)]
+    want = [e.ids for e in fresh.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for some in (slice(0, 100), slice(None)):
+        assert [x.tolist() for x in mine.encode(pa.array(texts[some]))] == want[some]
+    assert mine.encode(pa.array([], pa.string())) == [] and [x.tolist() for x in mine.encode(pa.array(["", None]))] == [[], []]
+
+
+def test_encoding_with_a_small_cache(monkeypatch):
+    from larkspan.llm import tokens
+
+    monkeypatch.setattr(tokens, "_MOST", 50)
+    path = tokenizer_path("byte_bpe_50k.json")
+    mine = Encoder(path)
+    for k in range(6):
+        texts = [f"word{i % 40} some{k}{i} more \u3000 \u0416 x" for i in range(100)]
+        assert [x.tolist() for x in mine.encode(pa.array(texts))] == [e.ids for e in mine.inner.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_repair_files(spark, docs, none):
@@ -185,15 +199,36 @@ def test_repair_codec_random_access():
         blob = repair_codec.pack_shard(list(range(20)) + [None], texts, 49_408)
         s = repair_codec.Shard(blob)
         whole = np.concatenate(texts)
-        assert (s.all() == whole).all() and s.doc_ids[-1] is None
+        assert (s.range(0, n) == whole).all() and s.doc_ids[-1] is None
         for a, b in rng.integers(0, n + 1, (30, 2)):
             assert (s.range(int(a), int(b)) == whole[a:b]).all()
         assert all((s.document(k) == t).all() for k, t in enumerate(texts))
+        assert all((a == b).all() for a, b in zip(s.documents(), texts, strict=True))
     assert len(repair_codec.pack_shard([1], [np.tile(np.arange(50, dtype=np.uint32), 2000)], 49_408)) < 12_000
     with pytest.raises(ValueError):
         repair_codec.Shard(b"nonsense" + bytes(80))
 
 
+def test_repair_goes_on_until_no_pair_pays():
+    """No pair is left that has four uses apart from each other, and symbols get as many bits as they need."""
+    rng = np.random.default_rng(6)
+    zipf = np.minimum(rng.zipf(1.3, 60_000), 49_000).astype(np.uint32)
+    for ids in (zipf, np.zeros(70_001, np.uint32), np.tile(np.arange(3, dtype=np.uint32), 5000), np.repeat(rng.integers(0, 30, 9000), 3).astype(np.uint32)):
+        seq, rules, lengths = repair_codec.compress(ids, 49_408)
+        uses, last = Counter(), {}
+        for i, p in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)):
+            if last.get(p) != i - 1:
+                uses[p] += 1
+                last[p] = i
+        assert not uses or max(uses.values()) < repair_codec.LEAST
+        s = repair_codec.Shard(repair_codec.pack_shard([1], [ids], 49_408))
+        assert (s.document(0) == ids).all() and s.size.sum() == len(ids) and (s.lengths == lengths).all()
+    many = np.repeat(rng.permutation(np.tile(np.arange(9000), 8)), 1)
+    pairs = np.stack([many, many + 9000], 1).reshape(-1).astype(np.uint32)
+    s = repair_codec.Shard(repair_codec.pack_shard([1], [pairs], 60_000))
+    assert len(s.rules) > 5536 and (s.document(0) == pairs).all()
+
+
 def test_packing(spark, docs, none):
     rows = packing.pack(spark, docs.repartition(5), fan=2).collect()
     enc = encoder(tokenizer_path("byte_bpe_50k.json")).inner
@@ -235,6 +270,45 @@ def test_language_id(spark, docs, odd, none):
     assert {r.lang_pred for r in langid.identify(spark, odd, {}).collect()} == {"und"}
 
 
+def brute_profile(text):
+    """The most frequent n-grams of a text, by counting strings; equal ones by their characters' numbers, short ones first."""
+    s = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+    n = Counter(s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1) if s[i : i + k] != " ")
+    order = sorted(n, key=lambda g: (-n[g], sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))))
+    return order[: langid.PROFILE]
+
+
+def test_language_id_against_brute_force(spark, docs):
+    """Profiles and predictions of all documents but the longest, by strings and dictionaries."""
+    docs = docs.where("text IS NULL OR length(text) < 30000")
+    taught = docs.where(~langid.held_out(F.col("doc_id")))
+    judged = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.identify(spark, docs.where("doc_id IS NOT NULL"), langid.learn(spark, taught)).collect()}
+    sums, texts = defaultdict(Counter), docs.where("doc_id IS NOT NULL").collect()
+    for d in taught.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").collect():
+        s = re.sub(r"[\W\d_]+", " ", f" {d.text.lower()} ")
+        sums[d.lang].update(s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1) if s[i : i + k] != " ")
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    ranks = {lang: {g: i for i, g in enumerate(sorted(n, key=lambda g: (-n[g], code(g)))[: langid.PROFILE])} for lang, n in sums.items()}
+    for d in texts:
+        if not any(c.isalpha() for c in d.text or ""):
+            assert judged[d.doc_id] == ("und", 0.0)
+            continue
+        mine = brute_profile(d.text)
+        far = {lang: sum(abs(r[g] - i) if g in r else langid.PROFILE for i, g in enumerate(mine)) for lang, r in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        assert judged[d.doc_id][0] == best and abs(judged[d.doc_id][1] - (1 - far[best] / (langid.PROFILE * len(mine)))) < 1e-9
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    text = " ".join(f"Wort{chr(0x1F600 + i % 9)} naïve {'x' * (i % 7)} {chr(0x10400 + i % 5)}q" for i in range(3000)) + "y" * 5000
+    whole = langid.gram_counts(text)
+    monkeypatch.setattr(langid, "STRETCH", 10_000)
+    parts = langid.gram_counts(text)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    # Characters beyond 16 bits are told apart from those with the same low bits.
+    assert not set(langid.ngrams(chr(0x10061)).tolist()) & set(langid.ngrams("a").tolist())
+
+
 def test_out_of_place_distance():
     judge = langid.Judge({"a": langid.profile(langid.ngrams("aaa bbb aaa")).tolist(), "b": langid.profile(langid.ngrams("zzz yyy zzz")).tolist()})
     assert judge.judge("aaa bbb aaa") == ("a", 1.0) and judge.judge("zz")[0] == "b" and judge.judge(None) == ("und", 0.0)
@@ -276,6 +350,55 @@ def test_formats_stay_valid():
         assert pii._date(pii._date(us, KEY, False), KEY, True) == us
 
 
+def test_pseudonyms_by_rule():
+    """Independent of the operator: what stays, what goes, what is valid, and what is linked."""
+    import datetime
+
+    def new(text):
+        out, _ = pii.pseudonymise(text, KEY)
+        assert len(out) == len(text) and pii.pseudonymise(out, KEY, back=True)[0] == text
+        return out
+
+    def valid(card):
+        total = 0
+        for i, c in enumerate(reversed(card)):
+            d = int(c) * (1 + i % 2)
+            total += d // 10 + d % 10
+        return total % 10 == 0
+
+    seen = set()
+    for y, m, d in [(1980, 2, 29), (1999, 12, 31), (2001, 5, 4), (1965, 7, 13)]:
+        iso = new(f"on {y}-{m:02d}-{d:02d} x")[3:13]
+        day = datetime.date.fromisoformat(iso)
+        assert new(f"({d:02d}.{m:02d}.{y})")[1:11] == f"{day.day:02d}.{day.month:02d}.{day.year}"
+        assert new(f"{y}/{m:02d}/{d:02d}") == iso.replace("-", "/")
+        if d > 12:
+            assert new(f"{m:02d}/{d:02d}/{y}") == f"{day.month:02d}/{day.day:02d}/{day.year}"
+        seen.add(iso)
+    assert len(seen) == 4
+    low, high = new("mail jo.ann7@example3.com now"), new("mail Jo.Ann7@EXAMPLE3.com now")
+    assert low == high.lower() and low != high and low != "mail jo.ann7@example3.com now" and re.fullmatch(r"mail [a-z]{2}\.[a-z]{3}\d@[a-z]{7}\d\.com now", low)
+    for text in ("call 523-555-1055 today", "call 523.555.1055 today", "call +1 (523) 555-1055 today", "call (523) 555-1055 today"):
+        assert new(text) != text and re.sub(r"\d", "9", new(text))[-12:] == re.sub(r"\d", "9", text)[-12:]
+    cards = {new(f"pay 4111111111111111{x}")[4:20] for x in ("", " now", ", 7")} | {new("pay 4111-1111-1111-1111")[4:].replace("-", "")}
+    assert len(cards) == 1 and valid(min(cards)) and "4111111111111111" not in cards
+    for clean in ("", "no data here", "4111 1111 1111 1112", "version 1.2.3.4.5", "2020-13-40", "523-555-10555", "300.1.1.1", "000-12-3456", "a@b", "12:30 on 3/4"):
+        assert pii.pseudonymise(clean, KEY) == (clean, [])
+    assert new("from 10.20.30.40 and 10.20.30.40").split()[1] == new("x 10.20.30.40").split()[1]
+
+
+def test_pseudonyms_in_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        text = " ".join(f"user{i}@mail{i % 97}.example.com 10.0.{i % 256}.{i % 200}" for i in range(n))
+        t = time.process_time()
+        assert len(pii.pseudonymise(text, KEY)[1]) == 2 * n
+        took.append(time.process_time() - t)
+    assert took[1] < 16 * took[0] + 0.5
+
+
 def test_pii_inside_runs():
     """A card or IBAN next to other groups is found, is no longer in the text, and the text can be inverted."""
     card, bank = "4111 1111 1111 1111", "BE68539007547034"
@@ -323,6 +446,22 @@ def test_importance_resampling(spark, sf, docs, none):
     assert {r.log_weight for r in quality.resample(spark, docs, good.where("id < 0")).collect()} == {0.0}
 
 
+def test_selection_is_exact_under_ties(spark, tmp_path):
+    """Against sorting: ties in the key, repeated and null ids, negative and large ids."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(draw.choice([None, -5, 0, 3, 3, 2**62, -(2**62), i]), draw.choice([0.0, 1.0, draw.random()]), i) for i in range(400)]
+    spark.createDataFrame(rows, "id long, key double, place long").write.parquet(f"{tmp_path}/rows")
+    table = spark.read.parquet(f"{tmp_path}/rows")
+    order = sorted(rows, key=lambda r: (-r[1], r[0] is not None, r[0] or 0, r[2]))
+    for k in (0, 1, 57, 200, 399, 400, 500):
+        got = {r.place for r in quality.largest(table, k, "key", "id", "place").where("selected").collect()}
+        assert got == {r[2] for r in order[:k]}
+    same = spark.createDataFrame([(7, "one and the same text")] * 100, "doc_id long, text string")
+    assert quality.resample(spark, same, same.select(F.col("doc_id").alias("id"))).where("selected").count() == 50
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_special_tokens_as_in_a_fresh_tokenizer(name):
     from tokenizers import Tokenizer

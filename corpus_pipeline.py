@@ -12,10 +12,18 @@ from larkspan.llm import common, langid, mixing, packing, pii, simhash
 from larkspan.llm.queries import QUERY_KEY
 
 
+#: A text whose best out-of-place score is below this is in none of the languages learned.
+LEAST_SCORE = 0.1
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in which no language can be told: null ones and those without a letter."""
+    """Drops texts that are in none of the corpus's languages: null ones, those without a letter, and those whose n-grams
+    are next to all foreign to the nearest profile. Without any labelled text there is no profile to be foreign to, and
+    all texts with a letter stay."""
     profiles = langid.learn(spark, docs)
-    return langid.identify(spark, docs, profiles).where(F.col("lang_pred") != "und").select(*docs.columns)
+    if not profiles:
+        return docs.where(F.regexp_like("text", F.lit("\\p{L}")))
+    return langid.identify(spark, docs, profiles).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,20 +36,36 @@ def normalise_placeholder(text: Column) -> Column:
 
 
 def is_placeholder(text: Column, phrases: list[str]) -> Column:
-    n = normalise_placeholder(text)
-    bare = F.regexp_replace(n, "^[ .!,;]+|[ .!,;]+$", "")
-    return (n == "") | n.isin(phrases) | bare.isin(phrases)
-
-
-def keyword_pattern(words: list[str]) -> str:
-    """Single words match at a word's start, several words anywhere."""
-    return "(?i)(?U)" + "|".join(("" if " " in w else r"\b") + re.escape(w).replace(r"\ ", " ").replace("/", "/") for w in words)
+    # The lambda binds the normalised text, so it is made once.
+    bare = lambda n: F.regexp_replace(n, "^[ .!,;]+|[ .!,;]+$", "")
+    return F.get(F.transform(F.array(normalise_placeholder(text)), lambda n: (n == "") | n.isin(phrases) | bare(n).isin(phrases)), F.lit(0))
 
 
 def gate_aspects(text: Column, keywords: dict[str, list[str]] = ASPECT_KEYWORDS) -> Column:
-    """The aspects that a text names, in the order of the dictionary."""
-    named = [F.when(F.coalesce(text, F.lit("")).rlike(keyword_pattern(words)), F.lit(aspect)) for aspect, words in keywords.items()]
-    return F.filter(F.array(*named), lambda a: a.isNotNull())
+    """The aspects that a text names, in any case and in the order of the dictionary: a single word at a word's start,
+    several words anywhere. A text is cut into words once, and only those that begin like some keyword are matched; all
+    patterns over all of the text cost several times as much."""
+    low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\u017f", "s")
+    plain = {a: [w for w in words if re.fullmatch(r"\w+", w)] for a, words in keywords.items()}
+    n = min(len(w) for words in plain.values() for w in words)
+    heads = sorted({w[:n] for words in plain.values() for w in words})
+    likely = lambda x: F.array_join(F.filter(F.split(x, r"[^\p{L}\p{N}_]+"), lambda w: F.substring(w, 1, n).isin(heads)), " ")
+
+    def named(p: Column) -> Column:
+        out = []
+        for aspect, words in keywords.items():
+            found = p["likely"].rlike("(?:^| )(?:" + "|".join(plain[aspect]) + ")") if plain[aspect] else F.lit(False)
+            for w in words:
+                if " " in w:
+                    found = found | p["low"].contains(w)
+                elif w not in plain[aspect]:
+                    found = found | (p["low"].contains(w) & p["low"].rlike(r"(?<![\p{L}\p{N}_])" + re.escape(w)))
+            out.append(F.when(found, F.lit(aspect)))
+        return F.array(*out)
+
+    # The lambdas bind the lowered text and its words, so each is made once.
+    once = F.transform(F.array(low), lambda x: F.struct(x.alias("low"), likely(x).alias("likely")))
+    return F.filter(F.flatten(F.transform(once, named)), lambda a: a.isNotNull())
 
 
 def parse_city_country(address: Column, cities: list[str] = CITIES, countries: list[str] = COUNTRIES) -> tuple[Column, Column]:

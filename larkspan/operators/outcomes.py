@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .events import cell, deltas
-from .policy import actionable
 from .predict import unit_time
 
 FOLDS = ("A", "B")
@@ -31,10 +30,10 @@ def peer_scores(periods: DataFrame, edges: DataFrame, threshold: float = 0.15) -
     return own.select("unit", "period", "peer_score", F.coalesce("known", F.lit(0)).alias("known"), _share("rising", "known").alias("peer_exposure"))
 
 
-def aspect_exposure(panel: DataFrame, edges: DataFrame, threshold: float = 0.15) -> DataFrame:
+def aspect_exposure(panel: DataFrame, edges: DataFrame, actionable: list[str], threshold: float = 0.15) -> DataFrame:
     """The share of its peers' actionable aspects, measured now and before, whose net rose. Counted by peer first, so
     that the edges meet one row a peer and period."""
-    moved = deltas(panel).where(F.col("has") & F.col("prev_has") & actionable())
+    moved = deltas(panel).where(F.col("has") & F.col("prev_has") & F.col("aspect").isin(actionable))
     by_peer = moved.groupBy(F.col("unit").alias("peer"), "ord").agg(F.count("*").alias("known"), _n(F.col("delta") >= threshold).alias("rising"))
     seen = edges.select("unit", "peer").join(by_peer, "peer").groupBy("unit", "ord").agg(F.sum("known").alias("known"), F.sum("rising").alias("rising"))
     return seen.select("unit", "ord", "known", "rising", _share("rising", "known").alias("exposure"))
@@ -122,7 +121,8 @@ def picker_agreement(choices: DataFrame, one: str, two: str) -> DataFrame:
 def violations(snap: DataFrame, choices: DataFrame, strategies: list[str]) -> DataFrame:
     """By strategy: eligible units, those it chooses for, the share it abstains from, and choices nobody can act on."""
     eligible = snap.where("eligible").select("unit").distinct()
-    made = choices.join(eligible, "unit", "left_semi").groupBy("strategy").agg(F.count("*").alias("chosen"), _n(~actionable()).alias("violations"))
+    marked = choices.join(snap.select("unit", "aspect", F.coalesce("actionable", F.lit(False)).alias("actionable")), ["unit", "aspect"])
+    made = marked.join(eligible, "unit", "left_semi").groupBy("strategy").agg(F.count("*").alias("chosen"), _n(~F.col("actionable")).alias("violations"))
     asked = eligible.agg(F.count("*").alias("eligible")).select("eligible", F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"))
     out = asked.join(made, "strategy", "left").fillna(0, ["chosen", "violations"])
     return out.select("strategy", "eligible", "chosen", "violations", (F.lit(1.0) - _share("chosen", "eligible")).alias("abstain_rate"))

@@ -23,7 +23,8 @@ def mention_counts(m: DataFrame) -> DataFrame:
 
 
 def unit_periods(m: DataFrame) -> DataFrame:
-    """Review counts and mean scores of each unit and period, by fold."""
+    """Review counts and mean scores of each unit and period, by fold. m: a row a review; mentions only where each review
+    has one."""
     a, b = F.col("fold") == "A", F.col("fold") == "B"
     return m.groupBy("unit", "period").agg(
         F.min("city").alias("city"), F.min("ord").alias("ord"), F.count("*").alias("n_reviews"), _n(a).alias("n_A"), _n(b).alias("n_B"),
@@ -37,10 +38,10 @@ def aspects_of(part_types: DataFrame) -> list[str]:
     return sorted(found)
 
 
-def dense_panel(m: DataFrame, aspects: list[str], prior: float = S.PRIOR) -> DataFrame:
+def dense_panel(m: DataFrame, aspects: list[str], prior: float = S.PRIOR, reviews: DataFrame | None = None) -> DataFrame:
     """A row for each aspect of each unit and period with a review; aspects without a mention have zero counts,
-    a null raw net and a smoothed net of 0."""
-    grid = unit_periods(m).withColumn("aspect", F.explode(F.array(*[F.lit(a) for a in aspects])))
+    a null raw net and a smoothed net of 0. reviews: a row a review, if mentions are not that."""
+    grid = unit_periods(m if reviews is None else reviews).withColumn("aspect", F.explode(F.array(*[F.lit(a) for a in aspects])))
     names = ["pos", "neg", "pos_A", "neg_A", "pos_B", "neg_B"]
     full = grid.join(mention_counts(m), ["unit", "period", "aspect"], "left").fillna(0, names)
     c = F.col

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .snapshot import IMMUTABLE, MIN_MENTIONS, MIN_PEERS, MIN_RELIABILITY, pick
+from .snapshot import MIN_MENTIONS, MIN_PEERS, MIN_RELIABILITY, pick
 
 #: Weights of gap, criticism and unreliability, and their variants.
 WEIGHT_GRIDS = {
@@ -19,7 +17,8 @@ CROWDING = 0.5
 
 
 def actionable() -> Column:
-    return F.col("aspect") != IMMUTABLE
+    """Unknown is no."""
+    return F.coalesce(F.col("actionable"), F.lit(False))
 
 
 def gate(actionable_only: bool = True, peers: bool = False, neg_mentions: bool = False, neg_rate: bool = False, crowding: bool = False) -> Column:
@@ -70,27 +69,36 @@ def diagnostic_gap(snap: DataFrame) -> DataFrame:
     return _choice(snap.where(gate(actionable_only=False, peers=True).isNull()).withColumn("score", F.col("gap")), "diagnostic_largest_gap")
 
 
-def _minmax(c: str, w) -> Column:
-    lo, hi = F.min(c).over(w), F.max(c).over(w)
+def _minmax(c: str, ok: Column, w) -> Column:
+    """Scaled within the unit's candidates; 0 where they do not differ."""
+    x = F.when(ok, F.col(c))
+    lo, hi = F.min(x).over(w), F.max(x).over(w)
     return F.when(hi - lo > 0, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
 
 
-def peer_relative_scores(snap: DataFrame, weights: tuple[float, float, float] = WEIGHT_GRIDS["current-default"], intensity: float = 0.0) -> DataFrame:
-    """Gap and negative rate are scaled within the unit's own candidates, so gates come before scaling."""
+def peer_relative_score(weights: tuple[float, float, float] = WEIGHT_GRIDS["current-default"], intensity: float = 0.0) -> Column:
+    """Gap and negative rate are scaled within the unit's own candidates, so gates come before scaling; null for others."""
     intensity = min(1.0, max(0.0, intensity))
-    ok = snap.where(gate(peers=True, neg_rate=True, crowding=intensity > 0).isNull())
+    ok = gate(peers=True, neg_rate=True, crowding=intensity > 0).isNull()
     w = W.partitionBy("unit")
-    scaled = ok.withColumn("g", _minmax("gap", w)).withColumn("c", _minmax("neg_rate", w))
-    score = F.lit(weights[0]) * F.col("g") + F.lit(weights[1]) * F.col("c") - F.lit(weights[2]) * (F.lit(1.0) - F.col("rel"))
+    score = F.lit(weights[0]) * _minmax("gap", ok, w) + F.lit(weights[1]) * _minmax("neg_rate", ok, w) - F.lit(weights[2]) * (F.lit(1.0) - F.col("rel"))
     if intensity > 0:
         score = score - F.lit(intensity) * F.lit(CROWDING) * F.col("weak_share")
-    return scaled.withColumn("score", score).drop("g", "c")
+    return F.when(ok, score)
+
+
+def peer_relative_scores(snap: DataFrame, weights: tuple[float, float, float] = WEIGHT_GRIDS["current-default"], intensity: float = 0.0) -> DataFrame:
+    return snap.withColumn("score", peer_relative_score(weights, intensity)).where("score IS NOT NULL")
 
 
 def peer_relative(snap: DataFrame, weights: tuple[float, float, float] = WEIGHT_GRIDS["current-default"], intensity: float = 0.0) -> DataFrame:
     return _choice(peer_relative_scores(snap, weights, intensity), "peer_relative")
 
 
+#: Another name of the same policy.
+competition_aware = peer_relative
+
+
 def ranking(snap: DataFrame, intensity: float) -> DataFrame:
     scored = peer_relative_scores(snap, intensity=intensity)
     return scored.select("unit", "aspect", "score", F.row_number().over(W.partitionBy("unit").orderBy(F.desc("score"), "aspect")).alias("rank"))
@@ -101,11 +109,11 @@ def value_aware(snap: DataFrame, value: dict[str, float], weights: tuple[float,
     kept = {a: max(0.0, v) for a, v in value.items()}
     mean = sum(kept.values()) / max(1, len(kept))
     scaled = {a: v / mean if mean > 0 else 1.0 for a, v in kept.items()}
-    ok = snap.where(gate(peers=True, neg_rate=True).isNull())
+    ok = gate(peers=True, neg_rate=True).isNull()
     w = W.partitionBy("unit")
     v = F.coalesce(*[F.when(F.col("aspect") == a, F.lit(x)) for a, x in sorted(scaled.items())], F.lit(1.0))
-    deficit = F.lit(weights[0]) * _minmax("gap", w) + F.lit(weights[1]) * _minmax("neg_rate", w)
-    return _choice(ok.withColumn("score", v * deficit - F.lit(weights[2]) * (F.lit(1.0) - F.col("rel"))), "value_aware")
+    deficit = F.lit(weights[0]) * _minmax("gap", ok, w) + F.lit(weights[1]) * _minmax("neg_rate", ok, w)
+    return _choice(snap.where(ok).withColumn("score", v * deficit - F.lit(weights[2]) * (F.lit(1.0) - F.col("rel"))), "value_aware")
 
 
 def abstention(snap: DataFrame, choices: DataFrame) -> DataFrame:
@@ -114,23 +122,45 @@ def abstention(snap: DataFrame, choices: DataFrame) -> DataFrame:
     return units.join(choices, "unit", "left_anti").select("unit", F.lit("no_eligible_aspects").alias("reason"))
 
 
-POLICIES = [fix_weakest, largest_gap, most_criticised, reliability_aware, peer_relative]
+STRATEGIES = ["fix_weakest", "largest_peer_gap", "most_criticised", "reliability_aware", "peer_relative"]
+
+
+def _scores() -> dict[str, Column]:
+    """The score of each strategy; null where the aspect does not pass its gates."""
+    plain = gate().isNull()
+    return {
+        "fix_weakest": F.when(plain, -F.col("net")), "largest_peer_gap": F.when(gate(peers=True).isNull(), F.col("gap")),
+        "most_criticised": F.when(gate(neg_mentions=True).isNull(), F.col("neg_mentions").cast("double")),
+        "reliability_aware": F.when(plain, -F.col("net") * F.col("rel")), "peer_relative": peer_relative_score(),
+    }
 
 
 def all_policies(snap: DataFrame) -> DataFrame:
-    """A row for each unit and strategy that chooses."""
-    return reduce(DataFrame.unionByName, [p(snap) for p in POLICIES])
+    """A row for each unit and strategy that chooses. All scores come from one pass over a unit's rows."""
+    each = F.array(*[F.struct(F.lit(k).alias("strategy"), c.alias("score")) for k, c in _scores().items()])
+    long = snap.withColumn("each", each).select("unit", "aspect", F.explode("each").alias("e")).select("unit", "aspect", "e.strategy", "e.score").where("score IS NOT NULL")
+    return pick(long, keys=("unit", "strategy")).select("unit", "strategy", "aspect", "score")
+
+
+def evidence(snap: DataFrame, choices: DataFrame) -> DataFrame:
+    """Choices with the evidence for them: mentions, reliability, gap, reference sets and candidates."""
+    w = W.partitionBy("unit")
+    facts = snap.withColumn("candidates", F.count(F.when(gate().isNull(), 1)).over(w))
+    return choices.join(facts.select("unit", "aspect", "net", "rel", "mentions", "neg_mentions", "neg_rate", "gap", "peer_n", "percentile", "candidates"), ["unit", "aspect"])
 
 
 def grid_choices(snap: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [peer_relative(snap, w).withColumn("grid", F.lit(name)) for name, w in WEIGHT_GRIDS.items()]).select("unit", "grid", "aspect")
+    each = F.array(*[F.struct(F.lit(name).alias("grid"), peer_relative_score(w).alias("score")) for name, w in WEIGHT_GRIDS.items()])
+    long = snap.withColumn("each", each).select("unit", "aspect", F.explode("each").alias("e")).select("unit", "aspect", "e.grid", "e.score").where("score IS NOT NULL")
+    return pick(long, keys=("unit", "grid")).select("unit", "grid", "aspect")
 
 
 def action_against_diagnosis(snap: DataFrame) -> DataFrame:
-    """Where the largest gap is not the one to act on."""
-    d = diagnostic_gap(snap).select("unit", F.col("aspect").alias("diagnosis"))
-    a = largest_gap(snap).select("unit", F.col("aspect").alias("action"))
-    return d.join(a, "unit", "left").select("unit", "diagnosis", "action", (~F.col("diagnosis").eqNullSafe(F.col("action"))).alias("differs"))
+    """Where the largest gap, of any aspect, is not the one to act on: the peer-relative choice is."""
+    scored = snap.withColumn("d", F.when(gate(actionable_only=False, peers=True).isNull(), F.col("gap"))).withColumn("a", peer_relative_score())
+    best = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col("aspect")))).getField("aspect")
+    both = scored.groupBy("unit").agg(best("d").alias("diagnosis"), best("a").alias("action")).where("diagnosis IS NOT NULL")
+    return both.select("unit", "diagnosis", "action", (~F.col("diagnosis").eqNullSafe(F.col("action"))).alias("differs"))
 
 
 def coverage(snap: DataFrame, choices: DataFrame) -> DataFrame:
@@ -161,6 +191,6 @@ def shares(choices: DataFrame) -> DataFrame:
 
 def audit(snap: DataFrame, choices: DataFrame) -> DataFrame:
     """Choices that break a rule: no choice of a sound policy does."""
-    full = choices.join(snap.select("unit", "aspect", "mentions", "rel"), ["unit", "aspect"])
+    full = choices.join(snap.select("unit", "aspect", "mentions", "rel", "actionable"), ["unit", "aspect"])
     one = lambda c: F.count(F.when(c, 1))
-    return full.groupBy("strategy").agg(F.count("*").alias("choices"), one(~actionable()).alias("not_actionable"), one((F.col("mentions") < MIN_MENTIONS) | (F.col("rel") < MIN_RELIABILITY)).alias("low_evidence"))
+    return full.groupBy("strategy").agg(F.count("*").alias("choices"), one(~actionable()).alias("not_actionable"), one(F.col("actionable").isNull()).alias("unknown_actionability"), one((F.col("mentions") < MIN_MENTIONS) | (F.col("rel") < MIN_RELIABILITY)).alias("low_evidence"))

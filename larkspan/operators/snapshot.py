@@ -8,8 +8,8 @@ from pyspark.sql.window import Window as W
 
 #: Evidence gates.
 MIN_MENTIONS, MIN_REVIEWS, MIN_RELIABILITY, MIN_PEERS = 5, 10, 0.3, 2
-#: The aspect that nobody can act on, and the levels of the others.
-IMMUTABLE = "STANDARD"
+#: Fixed value: the aspect that nobody can act on, whatever is said of it.
+IMMUTABLE = "location"
 
 
 def usable() -> Column:
@@ -44,7 +44,8 @@ def weakest(rec: DataFrame) -> DataFrame:
     return rec.where(usable()).groupBy("unit").agg(F.min(F.struct("net", "aspect")).alias("w")).select("unit", F.col("w.aspect").alias("weakest"))
 
 
-def snapshot(panel: DataFrame, edges: DataFrame, places: DataFrame, period: str) -> DataFrame:
+def snapshot(panel: DataFrame, edges: DataFrame, places: DataFrame, period: str, actionable: list[str]) -> DataFrame:
+    """actionable: the aspects that a unit can act on; any other is not, and location never is."""
     rec = records(panel, period)
     near = peers_in_period(edges, rec)
     peer_nets = rec.where(usable()).select(F.col("unit").alias("peer"), "aspect", F.col("net").alias("peer_net"))
@@ -66,7 +67,16 @@ def snapshot(panel: DataFrame, edges: DataFrame, places: DataFrame, period: str)
         "unit", "city", "aspect", "has", "net", "rel", "mentions", "pos_mentions", "neg_mentions", "neg_rate", "mention_rate", "n_reviews", F.coalesce("peer_count", F.lit(0)).alias("peer_count"),
         "peer_median", F.coalesce("peer_n", F.lit(0)).alias("peer_n"), (F.col("peer_median") - F.col("net")).alias("gap"),
         F.when(F.col("net").isNotNull(), F.lit(100.0) * (F.coalesce("below", F.lit(0)).cast("double") + F.lit(0.5) * (F.coalesce("equal", F.lit(0)) + 1).cast("double")) / (F.coalesce("peer_n", F.lit(0)) + 1).cast("double")).alias("percentile"),
-        F.try_divide(F.coalesce("n_this", F.lit(0)).cast("double"), F.col("n_weak").cast("double")).alias("weak_share"), reason.isNull().alias("eligible"), reason.alias("ineligible_reason"))
+        F.try_divide(F.coalesce("n_this", F.lit(0)).cast("double"), F.col("n_weak").cast("double")).alias("weak_share"), reason.isNull().alias("eligible"), reason.alias("ineligible_reason"), (F.col("aspect").isin(actionable) & (F.col("aspect") != IMMUTABLE)).alias("actionable"))
+
+
+def reference_counters(edges: DataFrame, rec: DataFrame) -> DataFrame:
+    """Edges given, and those left out: to oneself, repeated, and to units without rows in the period."""
+    one = lambda c: F.count(F.when(c, 1))
+    here = rec.select(F.col("unit").alias("peer"), F.lit(True).alias("here")).distinct()
+    kept = edges.groupBy("unit", "peer").agg(F.count("*").alias("n")).join(here, "peer", "left")
+    other, known = F.col("unit") != F.col("peer"), F.col("here").isNotNull()
+    return kept.agg(F.sum("n").alias("edges"), F.sum(F.when(~other, F.col("n")).otherwise(0)).alias("self_edges"), F.sum(F.when(other, F.col("n") - 1).otherwise(0)).alias("repeated"), one(other & ~known).alias("absent"), one(other & known).alias("kept"))
 
 
 def counters(snap: DataFrame) -> DataFrame:

@@ -53,12 +53,12 @@ def j10_peer_scores(spark, d):
 @query
 def j10_aspect_exposure(spark, d):
     t = T(spark, d)
-    return outcomes.aspect_exposure(t.panel, t.edges).select("unit", "ord", "known", "rising", *_r("exposure"))
+    return outcomes.aspect_exposure(t.panel, t.edges, t.actionable).select("unit", "ord", "known", "rising", *_r("exposure"))
 
 
 @query
 def j20_picker_agreement(spark, d):
-    return outcomes.picker_agreement(policy.all_policies(T(spark, d).shared), "fix_weakest", "most_criticised").select("n", *_r("agree"))
+    return outcomes.picker_agreement(policy.all_policies(T(spark, d).snapshot), "fix_weakest", "most_criticised").select("n", *_r("agree"))
 
 
 @query

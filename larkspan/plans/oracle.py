@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import text as X
 from ..functions.score import Z_ALPHA, Z_POWER
 from ..operators.policy import CROWDING, WEIGHT_GRIDS
+from ..operators.traveller import PERSONAS
 
 _NET = "(2.0e0*((CAST({p} AS DOUBLE)+{k}e0/2.0e0)/(CAST({p}+{n} AS DOUBLE)+{k}e0))-1.0e0)"
 
@@ -143,7 +144,12 @@ _MATCH = f"""wt AS (SELECT *, {_WEIGHTS} AS w FROM snap),
 match AS (SELECT unit, city, bool_and(eligible) AS eligible, sum(w*rel*net) FILTER (has AND w*rel>0)/sum(w*rel) FILTER (has AND w*rel>0) AS score, coalesce(sum(w) FILTER (has AND w*rel>0)/sum(w),0.0e0) AS coverage FROM wt GROUP BY unit, city)"""
 _FLIPS = "CAST(round_even(0.3e0*CAST(neg_mentions AS DOUBLE),0) AS BIGINT)"
 _IMPROVE = f"imp AS (SELECT *, {_net('(pos+flips)', '(neg_mentions-flips)')} AS after_net FROM (SELECT *, {_FLIPS} AS flips FROM snap WHERE has))"
-_GAIN = f"{_IMPROVE}, outc AS (SELECT unit, city, aspect, net, round(CAST(mentions AS DOUBLE)*(after_net-net)/CAST(sum(mentions) OVER (PARTITION BY unit) AS DOUBLE),9) AS balance_gain FROM imp), cmp AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY balance_gain DESC, aspect) AS rnk FROM outc WHERE (unit, aspect) IN (SELECT (unit, aspect) FROM snap WHERE {_gate()} IS NULL))"
+_BAL = "sum(CAST(mentions AS DOUBLE)*net) FILTER (has) OVER (PARTITION BY unit)/sum(CAST(mentions AS DOUBLE)) FILTER (has) OVER (PARTITION BY unit)"
+_OUTC = f"""{_IMPROVE}, outc0 AS (SELECT *, CAST(mentions AS DOUBLE)*(after_net-net)/CAST(sum(mentions) OVER (PARTITION BY unit) AS DOUBLE) AS g, {_BAL} AS b FROM imp),
+outc AS (SELECT unit, city, aspect, net, flips, round(b,9) AS balance_before, round(b+g,9) AS balance_after, round((b+g)-b,9) AS balance_gain, round(((b+g)-b)*2.5e0,9) AS rating_points, round(((b+g)-b)*2.5e0*5.0e0,9) AS revenue_pct FROM outc0)"""
+_GAIN = f"""{_OUTC}, chosen AS ({_POLICIES['peer_relative']}),
+cmp AS (SELECT outc.*, coalesce(outc.aspect=chosen.aspect,false) AS recommended, row_number() OVER (PARTITION BY outc.unit ORDER BY rating_points DESC, outc.aspect) AS rnk
+ FROM outc LEFT JOIN chosen ON chosen.unit=outc.unit WHERE (outc.unit, outc.aspect) IN (SELECT (unit, aspect) FROM snap WHERE {_gate()} IS NULL))"""
 
 
 def _regex(words: list[str]) -> str:
@@ -159,14 +165,38 @@ _LABELS = "WITH lab AS (SELECT l.doc_id, quality, toxic, lang, CAST(n_chars>1500
 _HEADER_N = _snap("nation")
 
 
+def _scaled_if(c: str) -> str:
+    x = f"CASE WHEN ok THEN {c} END"
+    return f"CASE WHEN max({x}) OVER w-min({x}) OVER w>0 THEN ({c}-min({x}) OVER w)/(max({x}) OVER w-min({x}) OVER w) ELSE 0.0e0 END"
+
+
 def _follow(rounds: int) -> str:
-    out, src = [], f"(SELECT unit, aspect, pos AS p, neg_mentions AS n FROM snap WHERE {_gate()} IS NULL)"
+    """Rounds of asking for a recommendation on the measures as they are, and improving it."""
+    keep = "unit, aspect, has, eligible, rel, mentions, peer_n, peer_median, net, p, neg_mentions, neg_rate, gap, b0"
+    out = [f"st0 AS (SELECT {keep}, true AS on_ FROM (SELECT *, pos AS p, {_BAL} AS b0 FROM snap))"]
     for i in range(1, rounds + 1):
-        out.append(f"r{i} AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY unit ORDER BY -{_net('p', 'n')} DESC, aspect)=1 THEN CAST(round_even(0.3e0*CAST(n AS DOUBLE),0) AS BIGINT) END AS flips FROM {src})")
-        src = f"(SELECT unit, aspect, p+coalesce(flips,0) AS p, n-coalesce(flips,0) AS n FROM r{i})"
+        out += [
+            f"a{i} AS (SELECT *, CASE WHEN ok THEN 0.45e0*g+0.35e0*c-0.2e0*(1.0e0-rel) END AS score FROM (SELECT *, {_scaled_if('gap')} AS g, {_scaled_if('neg_rate')} AS c FROM (SELECT *, {_gate(peers=True, rate=True)} IS NULL AS ok FROM st{i - 1}) WINDOW w AS (PARTITION BY unit)))",
+            f"f{i} AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC NULLS LAST, aspect)=1 AS first_ FROM a{i})",
+            f"m{i} AS (SELECT *, CASE WHEN first_ AND score IS NOT NULL AND on_ THEN CAST(round_even(0.3e0*CAST(neg_mentions AS DOUBLE),0) AS BIGINT) ELSE 0 END AS fl FROM f{i})",
+            f"n{i} AS (SELECT * REPLACE (p+fl AS p, neg_mentions-fl AS neg_mentions) FROM m{i})",
+            f"o{i} AS (SELECT * REPLACE (CASE WHEN fl>0 THEN {_net('p', 'neg_mentions')} ELSE net END AS net, CASE WHEN fl>0 THEN CAST(neg_mentions AS DOUBLE)/CAST(mentions AS DOUBLE) ELSE neg_rate END AS neg_rate) FROM n{i})",
+            f"q{i} AS (SELECT * REPLACE (CASE WHEN fl>0 THEN peer_median-net ELSE gap END AS gap), {_BAL} AS bn, max(fl) OVER (PARTITION BY unit)>0 AS go_on FROM o{i})",
+            f"st{i} AS (SELECT {keep}, go_on AS on_ FROM q{i})",
+        ]
     return ", ".join(out)
 
 
+def _step(i: int) -> str:
+    when = "CASE WHEN score IS NOT NULL THEN round({},9) END AS {}"
+    more = ", ".join(when.format(x, n) for x, n in (("b0", "balance_before"), ("bn", "balance_after"), ("bn-b0", "balance_gain"), ("(bn-b0)*2.5e0", "rating_points"), ("(bn-b0)*2.5e0*5.0e0", "revenue_pct")))
+    return f"SELECT unit, CAST({i} AS BIGINT) AS round, CASE WHEN score IS NOT NULL THEN aspect END AS aspect, CAST(fl AS BIGINT) AS flips, score IS NOT NULL AND fl=0 AS stalled, {more} FROM q{i} WHERE first_ AND on_"
+
+
+_PERSONA_ROWS = ",".join(f"('{name}',{i},{float(w.get(a, 0))}e0)" for name, w in PERSONAS.items() for i, a in enumerate(X.ASPECTS, 1))
+_MATCHED = "sum(w*rel*net) FILTER (has AND w*rel>0)/sum(w*rel) FILTER (has AND w*rel>0)"
+_PLACE = "row_number() OVER (PARTITION BY city ORDER BY round(score,9) DESC NULLS LAST, s_name, unit)"
+
 ORACLE: dict[str, str] = {
     "g01_mention_counts": f'{_S} SELECT unit, period, aspect, pos, neg, pos_a AS "pos_A", neg_a AS "neg_A", pos_b AS "pos_B", neg_b AS "neg_B" FROM counts',
     "g02_unit_period_scores": f'{_S} SELECT unit, period, city, n_reviews, n_a AS "n_A", n_b AS "n_B", round(mean_score,9) AS mean_score FROM up',
@@ -189,7 +219,7 @@ ORACLE: dict[str, str] = {
     "v02_panel_integrity": f"{_S} SELECT count(*) AS n_rows, count(*) FILTER (aspect NOT IN (SELECT p_type FROM part)) AS unknown_aspect, count(*) FILTER (NOT regexp_matches(period,'^\\d{{4}}(Q[1-4])?$')) AS bad_period, count(*) FILTER (pos<0 OR neg<0 OR pos+neg<>total) AS bad_counts, count(*) FILTER (pos_a+pos_b<>pos OR neg_a+neg_b<>neg) AS bad_folds, count(*) FILTER (has<>(total>0)) AS bad_measured, count(*) FILTER (net IS NULL OR abs(net)>1) AS bad_net, (SELECT count(*) FROM (SELECT 1 FROM panel GROUP BY unit, period, aspect HAVING count(*)>1)) AS repeated FROM panel",
     "v05_fold_reconciliation": f"{_S}, r AS (SELECT unit, period, min(n_reviews) AS n2, min(mean_score) AS m2 FROM panel GROUP BY unit, period) SELECT count(*) FILTER (u.unit IS NOT NULL AND r.unit IS NOT NULL) AS \"both\", count(*) FILTER (r.unit IS NULL) AS left_only, count(*) FILTER (u.unit IS NULL) AS right_only, count(*) FILTER (n_reviews<>n2) AS n_mismatch, count(*) FILTER (abs(mean_score-m2)>=1e-6) AS mean_mismatch FROM up u FULL JOIN r ON u.unit=r.unit AND u.period=r.period",
     "s04_source_audit": "SELECT count(*) AS n, count(DISTINCT l_suppkey) AS units, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS last_day, count(*) FILTER (l_quantity IS NULL) AS no_score FROM lineitem",
-    "f01_normalise": "SELECT conv_id, turn, sha1(lower(regexp_replace(regexp_replace(substr(text,1,40),'^\\s+|\\s+$','','g'),'\\s+',' ','g'))) AS h FROM conversations",
+    "f01_normalise": "SELECT conv_id, turn, sha1(lower(regexp_replace(regexp_replace(text,'^\\s+|\\s+$','','g'),'\\s+',' ','g'))) AS h FROM conversations",
     "f02_placeholder": f"WITH t AS (SELECT o_orderkey, (['No Negative',' nothing. ','N/A','Great stay','','none!;','All Good'])[o_orderkey%7+1] AS t FROM orders), n AS (SELECT o_orderkey, lower(trim(t)) AS n FROM t) SELECT o_orderkey, n='' OR n IN ({_list(X.NEGATIVE_PLACEHOLDERS)}) OR trim(n,' .!,;') IN ({_list(X.NEGATIVE_PLACEHOLDERS)}) AS placeholder FROM n",
     "f03_keyword_gate": "WITH t AS (SELECT concat(p_name,' ',p_type,' near the metro, staff room') AS t FROM part) " + " UNION ALL ".join(f"SELECT '{a}' AS aspect, count(*) AS n FROM t WHERE regexp_matches(t,'{_regex(w)}') HAVING count(*)>0" for a, w in X.ASPECT_KEYWORDS.items()),
     "f04_city_country": "WITH a AS (SELECT n_nationkey, (['London','Utrecht','Paris'])[n_nationkey%3+1] AS city, (['United Kingdom','Netherlands'])[n_nationkey%2+1] AS country FROM nation) SELECT * FROM a",
@@ -209,11 +239,12 @@ ORACLE: dict[str, str] = {
     "f22_medians": "SELECT l_returnflag, l_linestatus, median(l_quantity) AS median, quantile_cont(l_quantity,0.9) AS p90 FROM lineitem GROUP BY ALL",
     "f25_half_even": "SELECT p_size, CAST(round_even(CAST(p_size AS DOUBLE)*0.5e0,0) AS BIGINT) AS half, count(*) AS n FROM part GROUP BY p_size",
     "f28_power_table": f"WITH g AS (SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1) SELECT l_returnflag, round({Z_ALPHA + Z_POWER!r}e0*0.5e0*sqrt(1.0e0/n+1.0e0/(n*2)),9) AS mde, CAST(ceil(2.0e0*({Z_ALPHA + Z_POWER!r}e0*0.5e0/0.07e0)*({Z_ALPHA + Z_POWER!r}e0*0.5e0/0.07e0)) AS BIGINT) AS n_per_arm FROM g",
-    "f31_personas": "SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'business' WHEN 'AUTOMOBILE' THEN 'road' WHEN 'MACHINERY' THEN 'budget' WHEN 'HOUSEHOLD' THEN 'family' WHEN 'FURNITURE' THEN 'comfort' ELSE 'custom' END AS persona, count(*) AS n FROM customer GROUP BY 1",
+    "f31_personas": f"""{_SNAP}, asp AS (SELECT aspect, row_number() OVER (ORDER BY aspect) AS i FROM (SELECT DISTINCT p_type AS aspect FROM part)), ws AS (SELECT * FROM (VALUES {_PERSONA_ROWS}) AS v(persona, i, w)), wt AS (SELECT snap.*, persona, w FROM snap JOIN asp USING (aspect) JOIN ws USING (i))
+ SELECT persona, unit, round({_MATCHED},9) AS score, round(coalesce(sum(w) FILTER (has AND w*rel>0)/sum(w),0.0e0),9) AS coverage FROM wt GROUP BY persona, unit""",
     "f32_criticism": f"{_SNAP} SELECT unit, aspect, neg_mentions, neg_rate, CAST(neg_mentions AS DOUBLE)/CAST(n_reviews AS DOUBLE) AS neg_per_review FROM snap",
     "f34_labels": "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name)>1 THEN concat(p_name,' (',p_partkey,')') ELSE p_name END AS label FROM part",
     "f36_stratum_key": "SELECT concat_ws('|',lang,source) AS stratum, count(*) AS n FROM documents GROUP BY 1",
-    "f40_coercion": "SELECT count(*) AS n, count(*) FILTER (TRY_CAST(regexp_extract(substr(props,6,40),'(\\d+)',1) AS BIGINT)>=0) AS counts, CAST(0 AS BIGINT) AS flags FROM events",
+    "f40_coercion": "SELECT count(*) AS n, count(*) FILTER (TRY_CAST(regexp_extract(substr(props,6),'(\\d+)',1) AS BIGINT)>=0) AS counts, CAST(0 AS BIGINT) AS flags FROM events",
     "f41_safe_ratio": "WITH e AS (SELECT trim(event_type) AS kind, count(*) AS n, count(*) FILTER (value>1e9) AS big FROM events GROUP BY 1) SELECT kind, n, CASE WHEN big<>0 THEN CAST(n AS DOUBLE)/CAST(big AS DOUBLE) END AS ratio FROM e",
     "f42_json_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props,'$.k') AS BIGINT)) AS BIGINT) AS k, count(json_extract_string(props,'$.none')) AS none FROM events GROUP BY event_type",
     "j06_knn_k": f"WITH {_places('supplier')} SELECT unit, peer, rnk AS rank, round(km,6) AS km FROM edges",
@@ -239,26 +270,34 @@ ORACLE: dict[str, str] = {
     "q07_reliability_aware": _rounded(_POLICIES["reliability_aware"]),
     "q11_value_aware": _rounded(_picked(_scores(value={"ECONOMY": 2.0, "PROMO": 0.5, "SMALL": -1.0, "LARGE": 1.0, "MEDIUM": 1.0}))),
     "q06_abstention": f"{_SNAP} SELECT 'no_eligible_aspects' AS reason, count(DISTINCT unit) AS n FROM snap WHERE eligible AND unit NOT IN (SELECT unit FROM ({_POLICIES['peer_relative']})) HAVING count(*)>0",
-    "q09_diagnosis_vs_action": f"{_SNAP}, dg AS ({_by('gap', actionable=False, peers=True)}), ac AS ({_POLICIES['largest_peer_gap']}) SELECT dg.unit, dg.aspect AS diagnosis, ac.aspect AS action, dg.aspect IS DISTINCT FROM ac.aspect AS differs FROM dg LEFT JOIN ac ON ac.unit=dg.unit",
+    "q09_diagnosis_vs_action": f"{_SNAP}, dg AS ({_by('gap', actionable=False, peers=True)}), ac AS ({_POLICIES['peer_relative']}) SELECT dg.unit, dg.aspect AS diagnosis, ac.aspect AS action, dg.aspect IS DISTINCT FROM ac.aspect AS differs FROM dg LEFT JOIN ac ON ac.unit=dg.unit",
     "q10_all_policies": f"{_SNAP}, {_CHOICES} SELECT unit, strategy, aspect, round(score,9) AS score FROM choices",
     "q13_weight_grid_choices": f"{_SNAP} " + " UNION ALL ".join(f"SELECT unit, '{k}' AS grid, aspect FROM ({_picked(_scores(w))})" for k, w in WEIGHT_GRIDS.items()),
     "o03_ranking": f"{_SNAP} SELECT unit, aspect, round(score,9) AS score, row_number() OVER (PARTITION BY unit ORDER BY score DESC, aspect) AS rank FROM {_scores(intensity=0.25)}",
     "g20_policy_coverage": f"{_SNAP}, {_CHOICES}, f AS (SELECT u.*, s.strategy, c.aspect FROM (SELECT DISTINCT unit, city, eligible FROM snap) u CROSS JOIN (SELECT DISTINCT strategy FROM choices) s LEFT JOIN choices c ON c.unit=u.unit AND c.strategy=s.strategy), g AS (SELECT strategy, coalesce(city,'(all)') AS city, count(*) FILTER (aspect IS NOT NULL AND eligible) AS recommended, count(*) FILTER (eligible AND aspect IS NULL) AS abstained, count(*) FILTER (eligible) AS el, count(*) AS un FROM f GROUP BY GROUPING SETS ((strategy),(strategy,city))) SELECT strategy, city, recommended, abstained, CASE WHEN el>0 THEN CAST(recommended AS DOUBLE)/el END AS of_eligible, CAST(recommended AS DOUBLE)/un AS of_all FROM g",
     "g21_pairwise_agreement": f"{_SNAP}, {_CHOICES}, c AS (SELECT * FROM choices WHERE unit IN (SELECT unit FROM choices GROUP BY unit HAVING count(*)=(SELECT count(DISTINCT strategy) FROM choices))) SELECT a.strategy AS s1, b.strategy AS s2, count(*) AS n, avg(CAST(a.aspect=b.aspect AS INTEGER)) AS rate FROM c a JOIN c b ON a.unit=b.unit AND a.strategy<b.strategy GROUP BY 1,2",
     "g22_policy_shares": f"{_SNAP}, {_CHOICES} SELECT strategy, aspect, count(*) AS n, CAST(count(*) AS DOUBLE)/CAST(sum(count(*)) OVER (PARTITION BY strategy) AS DOUBLE) AS share FROM choices GROUP BY strategy, aspect",
-    "p21_choice_audit": f"{_SNAP}, {_CHOICES} SELECT strategy, count(*) AS choices, count(*) FILTER (c.aspect='STANDARD') AS not_actionable, count(*) FILTER (mentions<5 OR rel<0.3e0) AS low_evidence FROM choices c JOIN snap s ON s.unit=c.unit AND s.aspect=c.aspect GROUP BY strategy",
+    "p21_choice_audit": f"{_SNAP}, {_CHOICES} SELECT strategy, count(*) AS choices, count(*) FILTER (c.aspect='STANDARD') AS not_actionable, CAST(0 AS BIGINT) AS unknown_actionability, count(*) FILTER (mentions<5 OR rel<0.3e0) AS low_evidence FROM choices c JOIN snap s ON s.unit=c.unit AND s.aspect=c.aspect GROUP BY strategy",
     "q17_match_score": f"{_SNAP}, {_MATCH} SELECT unit, round(score,9) AS score, round(coverage,9) AS coverage FROM match",
     "q17_contributions": f"{_SNAP}, {_MATCH} SELECT unit, aspect, round(w*rel*net/sum(w*rel) OVER (PARTITION BY unit),9) AS part FROM wt WHERE has AND net IS NOT NULL AND w*rel>0",
-    "q18_city_ranking": f"{_SNAP}, {_MATCH} SELECT city, unit, row_number() OVER (PARTITION BY city ORDER BY round(score,9) DESC, unit) AS rank, round(score,9) AS score FROM match WHERE eligible AND score IS NOT NULL",
-    "q18_rank_change": f"{_SNAP}, {_MATCH}, r AS (SELECT unit, row_number() OVER (PARTITION BY city ORDER BY round(score,9) DESC, unit) AS r0, row_number() OVER (PARTITION BY city ORDER BY round(CASE WHEN unit=3 THEN 1.0e0 ELSE score END,9) DESC, unit) AS r1 FROM match WHERE eligible AND score IS NOT NULL) SELECT unit, r1-r0 AS change FROM r",
+    "q18_city_ranking": f"{_SNAP}, {_MATCH} SELECT city, unit, s_name AS unit_name, {_PLACE} AS place, CASE WHEN score IS NOT NULL THEN {_PLACE} END AS rank, round(score,9) AS score FROM match JOIN supplier ON s_suppkey=unit WHERE eligible",
+    "q18_rank_change": f"""{_SNAP}, {_MATCH}, rc AS ({_POLICIES['peer_relative']}), ch AS (SELECT arg_min(rc.unit, rc.unit) AS unit, arg_min(rc.aspect, rc.unit) AS aspect FROM rc JOIN (SELECT DISTINCT unit, city FROM snap) u ON u.unit=rc.unit GROUP BY u.city),
+ fl AS (SELECT wt.*, ch.unit IS NOT NULL AND has AS hit, CASE WHEN ch.unit IS NOT NULL AND has THEN CAST(round_even(0.5e0*CAST(neg_mentions AS DOUBLE),0) AS BIGINT) ELSE 0 END AS f FROM wt LEFT JOIN ch ON ch.unit=wt.unit AND ch.aspect=wt.aspect),
+ wt2 AS (SELECT * REPLACE (CASE WHEN f>0 THEN {_net('(pos+f)', '(neg_mentions-f)')} ELSE net END AS net) FROM fl),
+ match2 AS (SELECT unit, city, bool_and(eligible) AS eligible, {_MATCHED} AS score FROM wt2 GROUP BY unit, city),
+ r1 AS (SELECT city, unit, CASE WHEN score IS NOT NULL THEN {_PLACE} END AS rank, round(score,9) AS score FROM match JOIN supplier ON s_suppkey=unit WHERE eligible),
+ r2 AS (SELECT unit, CASE WHEN score IS NOT NULL THEN {_PLACE} END AS rank, round(score,9) AS score FROM match2 JOIN supplier ON s_suppkey=unit WHERE eligible)
+ SELECT r1.city, r1.unit, r1.unit IN (SELECT unit FROM ch) AS changed, r1.rank AS rank_before, r2.rank AS rank_after, r2.rank-r1.rank AS change, r1.score AS score_before, r2.score AS score_after FROM r1 JOIN r2 ON r2.unit=r1.unit""",
     "q19_improve": f"{_SNAP}, {_IMPROVE} SELECT unit, aspect, flips, round(after_net,9) AS \"after\", round(peer_median-after_net,9) AS gap_after FROM imp",
-    "q21_outcome": f"{_SNAP}, {_IMPROVE}, o AS (SELECT unit, aspect, CAST(mentions AS DOUBLE)*(after_net-net)/CAST(sum(mentions) OVER (PARTITION BY unit) AS DOUBLE) AS g FROM imp) SELECT unit, aspect, round(g,9) AS balance_gain, round(g*1.0e0,9) AS rating_points, round(g*1.42e0,9) AS revenue_pct FROM o",
-    "q22_compare_actions": f"{_SNAP}, {_GAIN} SELECT unit, aspect, balance_gain, rnk AS rank FROM cmp",
-    "q23_follow_rounds": f"{_SNAP}, {_follow(3)} " + " UNION ALL ".join(f"SELECT unit, CAST({i} AS BIGINT) AS round, aspect, flips FROM r{i} WHERE flips IS NOT NULL" for i in (1, 2, 3)),
-    "q24_city_experiment": f"{_SNAP}, {_GAIN}, e AS (SELECT unit, city, arg_min(balance_gain,(net,aspect)) AS rec, avg(balance_gain) AS rnd, arg_max(balance_gain,(net,aspect)) AS lik, max(balance_gain) AS top FROM cmp GROUP BY unit, city) SELECT city, count(*) AS units, round(avg(rec),8) AS recommended, round(avg(rnd),8) AS random, round(avg(lik),8) AS best_liked, round(avg(top),8) AS oracle, avg(CAST(rec>=rnd-1e-9 AS INTEGER)) AS beats_random FROM e GROUP BY city",
+    "q21_outcome": f"{_SNAP}, {_OUTC} SELECT unit, aspect, flips, balance_before, balance_after, balance_gain, rating_points, revenue_pct FROM outc",
+    "q22_compare_actions": f"{_SNAP}, {_GAIN} SELECT unit, aspect, recommended, flips, balance_before, balance_after, balance_gain, rating_points, revenue_pct, rnk AS rank FROM cmp",
+    "q23_follow_rounds": f"{_SNAP}, {_follow(3)} " + " UNION ALL ".join(_step(i) for i in (1, 2, 3)),
+    "q24_city_experiment": f"""{_SNAP}, {_GAIN}, e AS (SELECT unit, max(rating_points) FILTER (recommended) AS rec, avg(rating_points) AS rnd, arg_max(rating_points,(net,aspect)) AS lik, max(rating_points) AS top FROM cmp GROUP BY unit),
+ u AS (SELECT DISTINCT unit, city FROM snap WHERE eligible) SELECT city, count(rec) AS units, count(*) FILTER (rec IS NULL) AS abstained, round(avg(rec),8) AS recommended, round(avg(rnd) FILTER (rec IS NOT NULL),8) AS random, round(avg(lik) FILTER (rec IS NOT NULL),8) AS best_liked,
+ round(avg(top) FILTER (rec IS NOT NULL),8) AS oracle, round(avg(CAST(rec>=rnd-1e-9 AS INTEGER)),9) AS beats_random, round(avg(CAST(rec>=top-1e-9 AS INTEGER)),9) AS is_best FROM u LEFT JOIN e ON e.unit=u.unit GROUP BY city""",
     "g36_balance": f"{_SNAP} SELECT unit, round(sum(CAST(mentions AS DOUBLE)*net)/sum(CAST(mentions AS DOUBLE)),9) AS balance FROM snap WHERE has GROUP BY unit",
     "f38_radar_scenario": f"{_SNAP} SELECT unit, aspect, round(least(greatest(net+0.5e0*greatest(0.0e0,gap),-1.0e0),1.0e0),9) AS net FROM snap WHERE has AND gap IS NOT NULL",
-    "w11_strongest_weakest": f"{_SNAP}, a AS (SELECT unit, aspect, row_number() OVER (PARTITION BY unit ORDER BY net DESC, aspect) AS s, row_number() OVER (PARTITION BY unit ORDER BY net, aspect) AS w FROM ok) SELECT unit, max(aspect) FILTER (s=1) AS strongest, max(aspect) FILTER (w=1) AS weakest FROM a GROUP BY unit",
+    "w11_strongest_weakest": f"{_SNAP}, {_MATCH}, a AS (SELECT unit, aspect, row_number() OVER (PARTITION BY unit ORDER BY net DESC, aspect) AS s, row_number() OVER (PARTITION BY unit ORDER BY net, aspect DESC) AS k FROM wt WHERE has AND net IS NOT NULL AND w*rel>0), b AS (SELECT unit, max(aspect) FILTER (s=1) AS strongest, max(aspect) FILTER (k=1) AS weakest FROM a GROUP BY unit) SELECT unit, strongest, nullif(weakest, strongest) AS weakest FROM b",
     "w05_deltas": f"{_N}, {_DELTA} SELECT unit, aspect, period, round(delta,9) AS delta FROM deltas",
     "e01_legacy_events": f"{_N}, {_DELTA}, {_EVENTS} SELECT unit, aspect, period, round(delta,9) AS delta, total FROM ev",
     "e01_exposure": f"{_NE}, {_DELTA}, {_EVENTS} SELECT ev.unit, ev.aspect, ev.period, count(*) AS known, count(*) FILTER (p.delta>=0.15e0) AS improving, round(CAST(count(*) FILTER (p.delta>=0.15e0) AS DOUBLE)/CAST(count(*) AS DOUBLE),9) AS exposure FROM ev JOIN edges ON edges.unit=ev.unit JOIN deltas p ON p.unit=edges.peer AND p.aspect=ev.aspect AND p.ord=ev.ord GROUP BY ev.unit, ev.aspect, ev.period",
@@ -291,5 +330,9 @@ ORACLE: dict[str, str] = {
     "j14_semi_anti": "SELECT c_mktsegment, count(*) AS n, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'with' ELSE 'without' END AS kind FROM customer GROUP BY 1,3",
     "u02_set_operations": "WITH a AS (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag='R'), b AS (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag='A') SELECT count(*) AS n, 'intersect' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT count(*), 'except' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT count(*), 'union' FROM (SELECT * FROM a UNION SELECT * FROM b)",
     "o02_top_units": f"{_S} SELECT unit, count(*) AS n FROM base GROUP BY unit ORDER BY n DESC, unit LIMIT 10",
+    "q20_record_simulation": f"""{_SNAP}, rc AS ({_POLICIES['peer_relative']}), fl AS (SELECT snap.unit, snap.aspect, pos, neg_mentions, CASE WHEN rc.unit IS NOT NULL THEN CAST(round_even(0.3e0*CAST(neg_mentions AS DOUBLE),0) AS BIGINT) ELSE 0 END AS f FROM snap LEFT JOIN rc ON rc.unit=snap.unit AND rc.aspect=snap.aspect WHERE has)
+ SELECT unit, aspect, CAST(pos+f AS BIGINT) AS pos_mentions, CAST(neg_mentions-f AS BIGINT) AS neg_mentions, round({_net('(pos+f)', '(neg_mentions-f)')},9) AS net FROM fl""",
+    "q10_evidence": f"{_SNAP}, {_CHOICES}, cand AS (SELECT unit, count(*) AS candidates FROM snap WHERE {_gate()} IS NULL GROUP BY unit) SELECT c.unit, strategy, c.aspect, mentions, neg_mentions, peer_n, candidates, round(gap,9) AS gap, round(percentile,9) AS percentile FROM choices c JOIN snap ON snap.unit=c.unit AND snap.aspect=c.aspect JOIN cand ON cand.unit=c.unit",
+    "u05_reference_counters": f"{_SNAP}, b AS (SELECT unit, peer FROM edges UNION ALL SELECT unit, unit FROM edges WHERE rnk=1 UNION ALL SELECT unit, peer FROM edges WHERE rnk=2 UNION ALL SELECT unit, -peer FROM edges WHERE rnk=3), k AS (SELECT unit, peer, count(*) AS n, peer IN (SELECT unit FROM rec) AS here FROM b GROUP BY unit, peer) SELECT CAST(sum(n) AS BIGINT) AS edges, CAST(coalesce(sum(n) FILTER (unit=peer),0) AS BIGINT) AS self_edges, CAST(sum(n-1) FILTER (unit<>peer) AS BIGINT) AS repeated, count(*) FILTER (unit<>peer AND NOT here) AS absent, count(*) FILTER (unit<>peer AND here) AS kept FROM k",
     "g01_review_flagship": _rounded(_POLICIES["fix_weakest"]),
 }

@@ -14,10 +14,13 @@ from ..functions import score as S
 from ..functions import text as X
 from ..operators import agreement, events, panel, peers, policy, predict, sampling, traveller
 from ..operators import snapshot as snap
+from ..operators.shared import settled
 from ..sources import reviews as R
 from ..streaming import panel_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The aspect of the tables at hand that stands for one that nobody can act on.
+GIVEN = "STANDARD"
 QUERIES: dict[str, Query] = {}
 
 
@@ -43,6 +46,14 @@ class Tables:
     def whole(self) -> DataFrame:
         return panel.with_complete(self.panel, self.mentions, self.kind)
 
+    @property
+    def actionable(self) -> list[str]:
+        return [a for a in self.aspects if a != GIVEN]
+
+    @property
+    def names(self) -> DataFrame:
+        return R.table(self.spark, self.dir, "supplier").select(F.col("s_suppkey").alias("unit"), F.col("s_name").alias("unit_name"))
+
     @property
     def edges(self) -> DataFrame:
         return peers.knn(self.places, 10)
@@ -50,12 +61,14 @@ class Tables:
     @property
     def snapshot(self) -> DataFrame:
         last = snap.last_complete(panel.complete_periods(self.mentions, self.kind))
-        return snap.snapshot(self.panel, self.edges, self.places, last)
+        return snap.snapshot(self.panel, self.edges, self.places, last, self.actionable)
+
+
 
     @property
     def shared(self) -> DataFrame:
-        """The snapshot for plans that read it several times; what is lost of it is made again."""
-        return self.snapshot.persist()
+        """The snapshot for plans that read it several times."""
+        return settled(self.snapshot)
 
 
 def T(spark: SparkSession, sf_dir: str, grain: str = "supplier") -> Tables:
@@ -190,12 +203,6 @@ def s04_source_audit(spark, d):
 
 @query
 def f01_normalise(spark, d):
-    return R.table(spark, d, "conversations").select("conv_id", "turn", F.sha1(X.normalise_placeholder(F.substring("text", 1, 40)).cast("binary")).alias("h"))
-
-
-@query
-def f01_normalise_whole(spark, d):
-    """f01_normalise, whose SQL reads the first 40 characters only, over whole texts."""
     return R.table(spark, d, "conversations").select("conv_id", "turn", F.sha1(X.normalise_placeholder(F.col("text")).cast("binary")).alias("h"))
 
 
@@ -321,9 +328,11 @@ def f28_power_table(spark, d):
 
 @query
 def f31_personas(spark, d):
-    c = R.table(spark, d, "customer")
-    persona = F.element_at(F.create_map(*[F.lit(x) for p in (("BUILDING", "business"), ("AUTOMOBILE", "road"), ("MACHINERY", "budget"), ("HOUSEHOLD", "family"), ("FURNITURE", "comfort")) for x in p]), F.col("c_mktsegment"))
-    return c.groupBy(F.coalesce(persona, F.lit("custom")).alias("persona")).agg(F.count("*").alias("n"))
+    """Match scores of units for each made-up traveller; the reviews' aspects stand for the tables' in order."""
+    t = T(spark, d)
+    s = t.shared.withColumn("aspect", F.get(F.array(*[F.lit(a) for a in X.ASPECTS]), F.array_position(F.array(*[F.lit(a) for a in t.aspects]), F.col("aspect")).cast("int") - 1)).where("aspect IS NOT NULL")
+    each = [traveller.match_scores(s, {a: float(w) for a, w in p.items()}).select(F.lit(name).alias("persona"), "unit", F.round("score", 9).alias("score"), F.round("coverage", 9).alias("coverage")) for name, p in traveller.PERSONAS.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query
@@ -500,12 +509,12 @@ def q09_diagnosis_vs_action(spark, d):
 
 @query
 def q10_all_policies(spark, d):
-    return policy.all_policies(T(spark, d).shared).select("unit", "strategy", "aspect", F.round("score", 9).alias("score"))
+    return policy.all_policies(T(spark, d).snapshot).select("unit", "strategy", "aspect", F.round("score", 9).alias("score"))
 
 
 @query
 def q13_weight_grid_choices(spark, d):
-    return policy.grid_choices(T(spark, d).shared)
+    return policy.grid_choices(T(spark, d).snapshot)
 
 
 @query
@@ -521,12 +530,12 @@ def g20_policy_coverage(spark, d):
 
 @query
 def g21_pairwise_agreement(spark, d):
-    return policy.agreement(policy.all_policies(T(spark, d).shared))
+    return policy.agreement(policy.all_policies(T(spark, d).snapshot))
 
 
 @query
 def g22_policy_shares(spark, d):
-    return policy.shares(policy.all_policies(T(spark, d).shared))
+    return policy.shares(policy.all_policies(T(spark, d).snapshot))
 
 
 @query
@@ -553,16 +562,18 @@ def q17_contributions(spark, d):
 
 @query
 def q18_city_ranking(spark, d):
-    return traveller.city_ranking(traveller.match_scores(T(spark, d).snapshot, WEIGHTS)).withColumn("rank", F.col("rank").cast("bigint"))
+    t = T(spark, d)
+    return traveller.city_ranking(traveller.match_scores(t.snapshot, WEIGHTS), t.names)
 
 
 @query
 def q18_rank_change(spark, d):
-    """Ranks before and after unit 3 takes the best nets of its city: its row is replaced and the city ranked again."""
-    s = traveller.match_scores(T(spark, d).snapshot, WEIGHTS)
-    before = traveller.city_ranking(s)
-    after = traveller.city_ranking(s.withColumn("score", F.when(F.col("unit") == 3, F.lit(1.0)).otherwise(F.col("score"))))
-    return before.select("unit", F.col("rank").alias("r0")).join(after.select("unit", F.col("rank").alias("r1")), "unit").select("unit", (F.col("r1") - F.col("r0")).cast("bigint").alias("change"))
+    """Ranks before and after the first unit of each city that has a recommendation follows it."""
+    t = T(spark, d)
+    s = t.shared
+    chosen = policy.peer_relative(s).join(s.select("unit", "city").distinct(), "unit").groupBy("city").agg(F.min(F.struct("unit", "aspect")).alias("c")).select("c.unit", "c.aspect")
+    changed = traveller.improved(s.join(chosen.select("unit"), "unit", "left_semi"), chosen, 0.5)
+    return traveller.rank_change(s, WEIGHTS, changed, t.names)
 
 
 @query
@@ -577,7 +588,7 @@ def q21_outcome(spark, d):
 
 @query
 def q22_compare_actions(spark, d):
-    return traveller.compare_actions(T(spark, d).snapshot, 0.3).withColumn("rank", F.col("rank").cast("bigint"))
+    return traveller.compare_actions(T(spark, d).shared, 0.3).drop("city", "net").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query
@@ -587,7 +598,7 @@ def q23_follow_rounds(spark, d):
 
 @query
 def q24_city_experiment(spark, d):
-    return traveller.city_experiment(T(spark, d).snapshot, 0.3)
+    return traveller.city_experiment(T(spark, d).shared, 0.3)
 
 
 @query
@@ -602,7 +613,32 @@ def f38_radar_scenario(spark, d):
 
 @query
 def w11_strongest_weakest(spark, d):
-    return traveller.strongest_and_weakest(T(spark, d).snapshot)
+    t = T(spark, d)
+    return traveller.strongest_and_weakest(t.snapshot, WEIGHTS, t.aspects)
+
+
+@query
+def q20_record_simulation(spark, d):
+    """Mentions made from the counts, improved one by one and counted again: the counts that improving the counts gives."""
+    s = T(spark, d).shared
+    chosen = policy.peer_relative(s)
+    counted = traveller.from_records(traveller.improve_records(traveller.mention_records(s), chosen, 0.3))
+    return counted.select("unit", "aspect", "pos_mentions", "neg_mentions", F.round("net", 9).alias("net"))
+
+
+@query
+def q10_evidence(spark, d):
+    s = T(spark, d).shared
+    e = policy.evidence(s, policy.all_policies(s))
+    return e.select("unit", "strategy", "aspect", "mentions", "neg_mentions", "peer_n", "candidates", F.round("gap", 9).alias("gap"), F.round("percentile", 9).alias("percentile"))
+
+
+@query
+def u05_reference_counters(spark, d):
+    t = T(spark, d)
+    last = snap.last_complete(panel.complete_periods(t.mentions, t.kind))
+    broken = t.edges.select("unit", "peer", "rank").unionByName(t.edges.where("rank = 1").select("unit", F.col("unit").alias("peer"), "rank")).unionByName(t.edges.where("rank = 2").select("unit", "peer", "rank")).unionByName(t.edges.where("rank = 3").select("unit", (-F.col("peer")).alias("peer"), "rank"))
+    return snap.reference_counters(broken, snap.records(t.panel, last))
 
 
 # Events: nations by quarter
@@ -626,13 +662,13 @@ def e01_exposure(spark, d):
 
 @query
 def e02_strict_prefilter(spark, d):
-    return events.strict_candidates(T(spark, d, "nation").whole, immutable=snap.IMMUTABLE).select("unit", "aspect", "period", F.round("delta", 9).alias("delta"), "total")
+    return events.strict_candidates(T(spark, d, "nation").whole, immutable=GIVEN).select("unit", "aspect", "period", F.round("delta", 9).alias("delta"), "total")
 
 
 @query
 def e02_strict_full(spark, d):
     t = T(spark, d, "nation")
-    return events.strict_events(t.whole, t.edges, peers=2, p=0.8, immutable=snap.IMMUTABLE).select("unit", "aspect", "period", "known", "improving", "p_rise")
+    return events.strict_events(t.whole, t.edges, peers=2, p=0.8, immutable=GIVEN).select("unit", "aspect", "period", "known", "improving", "p_rise")
 
 
 @query

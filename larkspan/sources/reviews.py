@@ -41,11 +41,34 @@ def reviews(raw: DataFrame) -> DataFrame:
     )
 
 
+def rows(found: DataFrame) -> DataFrame:
+    """A row for each review with a day, whatever its texts name: what counts and scores of reviews are taken from."""
+    return found.where(F.col("period").isNotNull()).select("unit", "unit_name", "city", "period", P.quarter_ordinal(F.col("period")).alias("ord"), "score", "fold", F.col("day").alias("d"))
+
+
+def fold_outcomes(raw: DataFrame) -> DataFrame:
+    """Review counts and score sums of each unit, period and fold, in one pass over the columns of score and fingerprint."""
+    found = reviews(raw).where("period IS NOT NULL AND score IS NOT NULL")
+    return found.groupBy("unit", "period", "fold").agg(F.count("*").alias("n"), F.sum("score").alias("score_sum"))
+
+
+def stream_counters(found: DataFrame) -> DataFrame:
+    """Rows, days read and not, scores not read, sections that say nothing by side, and sections that name no aspect."""
+    n = lambda c: F.count(F.when(c, 1))
+    pos_empty, neg_empty = X.is_placeholder(F.col("positive"), X.POSITIVE_PLACEHOLDERS), X.is_placeholder(F.col("negative"), X.NEGATIVE_PLACEHOLDERS)
+    each = found.select("day", "score", "fold", "lat", "lon", pos_empty.alias("pe"), neg_empty.alias("ne"), F.size(X.gate_aspects(F.col("positive"))).alias("pa"), F.size(X.gate_aspects(F.col("negative"))).alias("na"))
+    return each.agg(
+        F.count("*").alias("n"), n(F.col("day").isNotNull()).alias("days"), n(F.col("day").isNull()).alias("no_day"), n(F.col("score").isNull()).alias("no_score"), n(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("placed"),
+        n(F.col("pe")).alias("positive_placeholders"), n(F.col("ne")).alias("negative_placeholders"), n(~F.col("pe") & (F.col("pa") == 0)).alias("positive_unnamed"), n(~F.col("ne") & (F.col("na") == 0)).alias("negative_unnamed"),
+        F.sum(F.when(~F.col("pe"), F.col("pa")).otherwise(0)).alias("positive_mentions"), F.sum(F.when(~F.col("ne"), F.col("na")).otherwise(0)).alias("negative_mentions"), n(F.col("fold") == "A").alias("fold_a"))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """A row for each aspect that a section names: unit, city, period, ord, aspect, neg, score, fold, day."""
     sections = found.select("*", F.explode(F.array(F.struct(F.lit(False).alias("neg"), F.col("positive").alias("t")), F.struct(F.lit(True).alias("neg"), F.col("negative").alias("t")))).alias("section"))
     said = ~F.when(F.col("section.neg"), X.is_placeholder(F.col("section.t"), X.NEGATIVE_PLACEHOLDERS)).otherwise(X.is_placeholder(F.col("section.t"), X.POSITIVE_PLACEHOLDERS))
-    named = sections.where(said & F.col("period").isNotNull()).withColumn("aspect", F.explode(X.gate_aspects(F.col("section.t"))))
+    # An outer explode: of an inner one Spark infers a filter that names the aspects once more.
+    named = sections.where(F.col("period").isNotNull() & said).withColumn("aspect", F.explode_outer(X.gate_aspects(F.col("section.t")))).where("aspect IS NOT NULL")
     return named.select("unit", "unit_name", "city", "period", P.quarter_ordinal(F.col("period")).alias("ord"), "aspect", F.col("section.neg").alias("neg"), "score", "fold", F.col("day").alias("d"))
 
 
@@ -75,6 +98,30 @@ def fixture(spark: SparkSession) -> DataFrame:
     return n.select(*[made.get(c, F.lit(None).cast("string")).alias(c) for c in RAW_COLUMNS])
 
 
+#: Country of each city, and words of the made-up texts: three of each aspect's.
+_COUNTRY = ["United Kingdom", "France", "Netherlands", "Spain", "Austria", "Italy"]
+SAID = [w for words in X.ASPECT_KEYWORDS.values() for w in words[:3]]
+SILENT = ["No Negative", " nothing. ", "N/A", "All Good"]
+
+
+def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review file's columns made from lineitem, a review a row: texts with one to four aspects, placeholders and fillers."""
+    # A small file is one task's; the texts made of it are many times its size.
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    line = line.repartition(spark.sparkContext.defaultParallelism)
+    pick = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), F.pmod(n, F.lit(len(xs))).cast("int"))
+    c = F.col
+    more = F.repeat(F.lit(" We came back from a long day of business and had a pleasant evening."), F.col("l_linenumber"))
+    positive = F.when(c("l_partkey") % 5 == 0, "No Positive").otherwise(F.concat(F.lit("The "), pick(SAID, c("l_partkey")), F.lit(" was good, the "), pick(SAID, c("l_orderkey")), F.lit(" fine."), more))
+    negative = F.when(c("l_returnflag") == "R", F.concat(F.lit("Poor "), pick(SAID, c("l_partkey") + c("l_linenumber")), F.lit("; order "), c("l_orderkey").cast("string"), F.lit("."), more)).otherwise(pick(SILENT, c("l_orderkey")))
+    made = {
+        "Hotel_Address": F.concat(c("l_suppkey").cast("string"), F.lit(" Main Street "), pick(X.CITIES, c("l_suppkey")), F.lit(" "), pick(_COUNTRY, c("l_suppkey"))), "Hotel_Name": F.concat(F.lit("House "), c("l_suppkey").cast("string")),
+        "Review_Date": F.date_format("l_shipdate", "M/d/yyyy"), "Reviewer_Score": F.concat((c("l_quantity").cast("int") % 10 + 1).cast("string"), F.lit(".5")), "Reviewer_Nationality": c("l_linestatus"),
+        "Positive_Review": positive, "Negative_Review": negative, "lat": F.when(c("l_suppkey") % 9 != 0, (c("l_suppkey") % 50).cast("string")), "lng": (c("l_suppkey") % 20).cast("string"),
+    }
+    return line.select(*[made.get(n, F.lit(None).cast("string")).alias(n) for n in RAW_COLUMNS])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,10 +9,11 @@ import pytest
 from larkspan.plans.more_queries import MORE_ORACLE
 from larkspan.plans.oracle import ORACLE as FIRST_ORACLE
 from larkspan.plans.queries import QUERIES
+from larkspan.plans.review_queries import REVIEW_ORACLE
 
 from .conftest import SMALL
 
-ORACLE = FIRST_ORACLE | MORE_ORACLE
+ORACLE = FIRST_ORACLE | MORE_ORACLE | REVIEW_ORACLE
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,8 @@ The decoder reads LZW code streams, global and local palettes, interlacing, tran
 composes each frame on the canvas. Codes of a segment are cut from the bit stream at once, as their widths follow from
 their place after the last clear code.
 
-Null media have no frames; bytes that are no GIF give one row whose error says so. Empty tables give empty tables.
+Frames are decoded one at a time, so a very long medium holds a canvas and a frame. Null media have no frames; bytes that
+are no GIF give one row whose error says so. Repeated rows give repeated results, empty tables empty tables.
 Columns other than the id and the media are ignored.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import length_hint
 
@@ -151,6 +152,11 @@ class Frame:
 
 
 def decode_gif(data: bytes) -> list[Frame]:
+    return list(frames_of(data))
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """Frames in order of time, one at a time."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -160,7 +166,6 @@ def decode_gif(data: bytes) -> list[Frame]:
         n = 3 << ((flags & 7) + 1)
         shared, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay, disposal, transparent = 0, 0, None
 
     def gather(at: int) -> tuple[bytes, int]:
@@ -214,13 +219,12 @@ def decode_gif(data: bytes) -> list[Frame]:
         else:
             drawn = seen != transparent
             area[drawn] = colours[drawn]
-        frames.append(Frame(left, top, w, h, delay, disposal, transparent, indices, canvas.copy()))
+        yield Frame(left, top, w, h, delay, disposal, transparent, indices, canvas.copy())
         if disposal == 2:
             area[...] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, transparent = 0, 0, None
-    return frames
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -246,7 +250,7 @@ def gif_frames(spark: SparkSession, media: DataFrame, id_col: str, media_col: st
                     continue
                 rows, time = [], 0
                 try:
-                    for k, f in enumerate(decode_gif(raw)):
+                    for k, f in enumerate(frames_of(raw)):
                         h, w = f.canvas.shape[:2]
                         rows.append([i, k, time, 10 * f.delay_cs, f.left, f.top, f.width, f.height, f.disposal, w, h, f.canvas.tobytes(), histogram(f.canvas).tolist(), None])
                         time += 10 * f.delay_cs
@@ -260,16 +264,31 @@ def gif_frames(spark: SparkSession, media: DataFrame, id_col: str, media_col: st
 
 #: Grey palette: sample and colour are the same number.
 GREYS = bytes(x for i in range(256) for x in (i, i, i))
+#: A colour for each sample: three bits of red, three of green, two of blue, in the upper bits; the others tell no samples apart.
+COLOURS = bytes(x for i in range(256) for x in (i & 0xE0, (i << 3) & 0xE0, (i << 6) & 0xC0))
+#: A byte that UTF-8 never has marks samples that the frame before shows already.
+SEEN = 0xFF
 
 
 def payload_to_gif(payload: bytes) -> bytes:
+    """Samples as rows of colours, some rows a frame. Where a frame shows what is there already it is transparent. Payloads
+    with the mark among their samples are stored without transparency."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return encode_gif([samples[i : i + ROWS] for i in range(0, len(samples), ROWS)], GREYS)
+    frames = [samples[i : i + ROWS] for i in range(0, len(samples), ROWS)]
+    if len(frames) == 1 or SEEN in payload:
+        return encode_gif(frames, COLOURS)
+    shown = [frames[0]] + [np.where(f == before[: len(f)], np.uint8(SEEN), f) for before, f in zip(frames, frames[1:], strict=False)]
+    return encode_gif(shown, COLOURS, transparent=SEEN)
+
+
+def _samples(f: Frame) -> np.ndarray:
+    """The samples whose colours a frame shows, composed over the frames before."""
+    rgb = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+    return (rgb[..., 0] & 0xE0) | (rgb[..., 1] & 0xE0) >> 3 | rgb[..., 2] >> 6
 
 
-def gif_to_payload(frames: list[Frame]) -> bytes:
-    """The samples that the frames show."""
-    return b"".join(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in frames)
+def gif_to_payload(frames: Iterable[Frame]) -> bytes:
+    return b"".join(_samples(f).tobytes() for f in frames)
 
 
 def text_media(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,11 +314,14 @@ def media_digest(spark: SparkSession, media: DataFrame) -> DataFrame:
             rows = []
             for i, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = blob.as_py()
-                frames = decode_gif(raw)
-                payload = gif_to_payload(frames)
-                colours = sum(histogram(f.canvas[f.top : f.top + f.height]) for f in frames)
+                size, time, count, sha, tail, colours = 0, 0, 0, hashlib.sha256(), b"", np.zeros(64, np.int64)
+                for f in frames_of(raw):
+                    payload = _samples(f).tobytes()
+                    size, time, count, tail = size + len(payload), time + 10 * f.delay_cs, count + 1, payload[-WIDTH:]
+                    sha.update(payload)
+                    colours += histogram(f.canvas[f.top : f.top + f.height])
                 feature = " ".join(f"{k}:{v}" for k, v in enumerate(colours.tolist()) if v)
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), len(frames), 10 * sum(f.delay_cs for f in frames), feature))
+                rows.append((i, n, size, sha.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), count, time, feature))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])

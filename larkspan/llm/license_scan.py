@@ -3,10 +3,11 @@
 Every rolling word 3-gram of every text is hashed and joined to the positions of the same grams in license templates.
 A match of text position p with template position t votes for the diagonal p - t. Votes are counted by diagonal,
 diagonals a few words apart are merged (words inserted or left out), and a span counts if it covers enough of its
-template. Hits are verified by a second, independent hash in the join (96 bits in all), so no text is shuffled.
+template. Hits are verified by a second, independent 64-bit hash in the join, so no text is shuffled.
 
-Nulls and empty texts have no words and no labels. Rows are told apart by their place in the input, so repeated
-rows give repeated results. Columns other than the id and the text are ignored.
+Nulls and empty texts have no words and no labels; a very long text may hold any number of spans. Rows are told apart by
+their place in the input, so repeated rows give repeated results; an empty table gives an empty one. Columns other than
+the id and the text are ignored.
 """
 
 from __future__ import annotations

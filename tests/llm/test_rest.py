@@ -44,8 +44,30 @@ def test_interlaced_gif():
     assert (gif.decode_gif(bytes(blob))[0].canvas[..., 0] == rows).all()
 
 
+def test_payload_in_colours():
+    """Samples come back through palette, transparency and composition, and the histogram is that of their upper bits."""
+    rng = np.random.default_rng(7)
+    for n, top in ((1, 200), (5, 255), (3000, 200), (2500, 255)):
+        payload = rng.integers(0, top + 1, n * gif.WIDTH, dtype=np.uint8)
+        payload[gif.WIDTH * gif.ROWS : gif.WIDTH * (gif.ROWS + 40)] = payload[: max(0, min(40, n - gif.ROWS)) * gif.WIDTH]
+        blob = gif.payload_to_gif(payload.tobytes())
+        frames = gif.decode_gif(blob)
+        assert gif.gif_to_payload(frames) == payload.tobytes()
+        assert [f.transparent for f in frames] == [None if top == 255 or n <= gif.ROWS else gif.SEEN] * len(frames)
+        want = np.bincount((payload >> 6).astype(int) << 4 | (payload >> 3 & 3).astype(int) << 2 | payload & 3, minlength=64) if n <= gif.ROWS else None
+        assert want is None or (gif.histogram(frames[0].canvas) == want).all()
+
+
 def test_text_media(spark, docs, none):
-    rows = gif.media_digest(spark, common.scratch(gif.text_media(spark, docs), "media")).collect()
+    stored = common.scratch(gif.text_media(spark, docs), "media")
+    media = defaultdict(list)
+    for r in stored.collect():
+        media[r.doc_id].append(bytes(r.media))
+    rows = gif.media_digest(spark, stored).collect()
+    for r in rows:
+        assert (r.media_bytes, r.media_sha256) in [(len(m), hashlib.sha256(m).hexdigest()) for m in media[r.doc_id]]
+        colours = [sum(gif.histogram(f.canvas[f.top : f.top + f.height]) for f in gif.decode_gif(m)) for m in media[r.doc_id]]
+        assert r.feature in [" ".join(f"{k}:{v}" for k, v in enumerate(c.tolist()) if v) for c in colours]
     want = Counter()
     for d in docs.collect():
         raw = (d.text or "").encode()

@@ -43,6 +43,11 @@ def exposure(events: DataFrame, edges: DataFrame, moves: DataFrame, threshold: f
     return events.join(stats, ["unit", "aspect", "ord"]).where(F.col("known") >= least).withColumn("exposure", F.col("improving").cast("double") / F.col("known").cast("double"))
 
 
+def _log_gammas(x: float, n: int) -> np.ndarray:
+    """log of the gamma function at x, x + 1, ..., x + n - 1."""
+    return math.lgamma(x) + np.concatenate([[0.0], np.cumsum(np.log(x + np.arange(n - 1)))])
+
+
 def _log_beta(a: float, b: float) -> float:
     return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
 
@@ -52,9 +57,11 @@ _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
 
 def beta_greater(a1: float, b1: float, a0: float, b0: float) -> float:
     """P(X1 > X0) of two beta variables: a finite sum for whole a1, quadrature otherwise."""
-    if a1 == int(a1) and a1 <= 5000:
-        terms = (_log_beta(a0 + i, b0 + b1) - math.log(b1 + i) - _log_beta(1 + i, b1) - _log_beta(a0, b0) for i in range(int(a1)))
-        return min(1.0, max(0.0, math.fsum(map(math.exp, terms))))
+    if a1 == int(a1) and a1 <= 100_000:
+        n = int(a1)
+        over = _log_gammas(a0, n) + math.lgamma(b0 + b1) - _log_gammas(a0 + b0 + b1, n)
+        under = _log_gammas(1.0, n) + math.lgamma(b1) - _log_gammas(1.0 + b1, n)
+        return float(min(1.0, max(0.0, np.exp(over - np.log(b1 + np.arange(n)) - under - _log_beta(a0, b0)).sum())))
     x = (_NODES + 1) / 2
     log = lambda a, b: (a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - _log_beta(a, b)
     one, zero = np.exp(log(a1, b1)), np.exp(log(a0, b0))
@@ -64,42 +71,99 @@ def beta_greater(a1: float, b1: float, a0: float, b0: float) -> float:
 
 
 def with_posterior(df: DataFrame, prior: float = 10.0) -> DataFrame:
-    """Adds p_rise: how likely the share of positive mentions rose, from counts pos, neg, prev_pos and prev_neg."""
+    """Adds p_rise: how likely the share of positive mentions rose, from counts pos, neg, prev_pos and prev_neg. Each
+    different set of counts is worked out once a batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = prior / 2
+        h, counts = prior / 2, ["pos", "neg", "prev_pos", "prev_neg"]
         for f in frames:
-            f["p_rise"] = [beta_greater(p + h, n + h, q + h, m + h) for p, n, q, m in zip(f["pos"], f["neg"], f["prev_pos"], f["prev_neg"], strict=True)]
+            sets, which = np.unique(f[counts].to_numpy(), axis=0, return_inverse=True)
+            f["p_rise"] = np.array([beta_greater(*(x + h for x in row)) for row in sets.tolist()])[which.reshape(-1)] if len(f) else []
             yield f
 
     return df.mapInPandas(run, df.schema.simpleString()[7:-1] + ",p_rise:double")
 
 
-def strict_candidates(panel: DataFrame, threshold: float = 0.15, now: int = 5, before: int = 5, earlier: int = 3, immutable: str | None = None) -> DataFrame:
-    """Rises in complete periods with two complete ones on either side, measured and with enough mentions; no posterior yet."""
+def strict_candidates(panel: DataFrame, threshold: float = 0.15, now: int = 5, before: int = 5, earlier: int = 3, immutable: str | None = None, fold: str | None = None) -> DataFrame:
+    """Rises in complete periods with two complete ones on either side, measured and with enough mentions; no posterior yet.
+    fold: A or B takes nets and counts of that half of the reviews, None of all. around: whether the cell is measured in the
+    two periods before and the two after."""
     full = panel.where("complete")
+    if fold is not None:
+        pos, neg = F.col(f"pos_{fold}"), F.col(f"neg_{fold}")
+        full = full.withColumns({"pos": pos, "neg": neg, "total": pos + neg, "has": pos + neg > 0, "net": F.col(f"net_{fold}")})
     span = full.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
     lag2 = F.when(F.lag("ord", 2).over(cell()) == F.col("ord") - 2, F.lag("total", 2).over(cell()))
-    rows = full.withColumn("pre2", F.coalesce(lag2, F.lit(0))).withColumn("prev_pos", F.lag("pos").over(cell())).withColumn("prev_neg", F.lag("neg").over(cell()))
+    at = lambda f, k: F.when(f("ord", abs(k)).over(cell()) == F.col("ord") + k, f("has", abs(k)).over(cell()))
+    whole = at(F.lag, -2) & at(F.lag, -1) & at(F.lead, 1) & at(F.lead, 2)
+    rows = full.withColumn("pre2", F.coalesce(lag2, F.lit(0))).withColumn("prev_pos", F.lag("pos").over(cell())).withColumn("prev_neg", F.lag("neg").over(cell())).withColumn("around", F.coalesce(whole, F.lit(False)))
     d = deltas(rows).join(F.broadcast(span)).where("ord - lo >= 2 AND hi - ord >= 2")  # one row
     kept = d.where(F.col("has") & F.col("prev_has") & (F.col("total") >= now) & (F.col("prev_total") >= before) & (F.col("pre2") >= earlier) & (F.col("delta") >= threshold))
     if immutable is not None:
         kept = kept.where(F.col("aspect") != immutable)
-    return kept.select("unit", "city", "aspect", "period", "ord", "delta", "total", "pos", "neg", "prev_pos", "prev_neg")
+    return kept.select("unit", "city", "aspect", "period", "ord", "delta", "total", "pos", "neg", "prev_pos", "prev_neg", "around")
 
 
-def cooldown(events: DataFrame, periods: int = 2) -> DataFrame:
+def cooldown(events: DataFrame, periods: int = 2, keys: tuple[str, ...] = ("unit", "aspect")) -> DataFrame:
     """Of each unit and aspect, events more than `periods` after the last one kept. A fold over the cell's sorted events,
     which are at most one a period."""
     zero = F.struct(F.lit(-(10**9)).alias("last"), F.array().cast("array<int>").alias("kept"))
     step = lambda s, o: F.when(o - s["last"] > periods, F.struct(o.alias("last"), F.concat(s["kept"], F.array(o)).alias("kept"))).otherwise(s)
-    kept = events.groupBy("unit", "aspect").agg(F.array_sort(F.collect_set(F.col("ord").cast("int"))).alias("o")).select("unit", "aspect", F.explode(F.aggregate("o", zero, step)["kept"]).alias("ord"))
-    return events.join(kept, ["unit", "aspect", "ord"], "left_semi")
-
-
-def strict_events(panel: DataFrame, edges: DataFrame, threshold: float = 0.15, p: float = 0.9, prior: float = 10.0, peers: int = 5, rest: int = 2, immutable: str | None = None) -> DataFrame:
-    likely = with_posterior(strict_candidates(panel, threshold, immutable=immutable), prior).where(F.col("p_rise") >= p)
-    return cooldown(exposure(likely, edges, deltas(panel.where("complete")), threshold, peers, measured=True), rest)
+    kept = events.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("ord").cast("int"))).alias("o")).select(*keys, F.explode(F.aggregate("o", zero, step)["kept"]).alias("ord"))
+    return events.join(kept, [*keys, "ord"], "left_semi")
+
+
+def strict_events(panel: DataFrame, edges: DataFrame, threshold: float = 0.15, p: float = 0.9, prior: float = 10.0, peers: int = 5, rest: int = 2, immutable: str | None = None, fold: str | None = None) -> DataFrame:
+    """fold: A or B detects in that half of the reviews; None in all."""
+    likely = with_posterior(strict_candidates(panel, threshold, immutable=immutable, fold=fold), prior).where(F.col("p_rise") >= p)
+    moves = panel.where("complete")
+    if fold is not None:
+        moves = moves.withColumns({"net": F.col(f"net_{fold}"), "has": F.col(f"pos_{fold}") + F.col(f"neg_{fold}") > 0})
+    return cooldown(exposure(likely, edges, deltas(moves), threshold, peers, measured=True), rest)
+
+
+def strict_run(panel: DataFrame, edges: DataFrame, immutable: str, **options) -> DataFrame:
+    """Events of both halves of the reviews and of all, and those of the aspect that nobody acts on as a control: a row for
+    each with its set: A, B, ALL or CONTROL."""
+    parts = [strict_events(panel, edges, immutable=immutable, fold=f, **options).withColumn("set", F.lit(f or "ALL")) for f in ("A", "B", None)]
+    control = strict_events(panel.where(F.col("aspect") == immutable), edges, **options).withColumn("set", F.lit("CONTROL"))
+    out = control
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+#: What an exploratory verdict needs, and an associational one.
+EXPLORATORY = {"events": 300, "units": 200, "cities": 4, "aspects": 4, "exposed": 100, "unexposed": 100, "around": 0.7}
+ASSOCIATIONAL = {"events": 50, "units": 30}
+
+
+def strict_verdict(run: DataFrame, green: dict[str, float] = EXPLORATORY, amber: dict[str, float] = ASSOCIATIONAL) -> DataFrame:
+    """Counts over the events of both halves, and the verdict: GREEN_EXPLORATORY if all floors are met and both halves have
+    events, AMBER_ASSOCIATIONAL if one half has none or the lower floors are met, else RED_MEASUREMENT."""
+    n = lambda c: F.count(F.when(c, 1))
+    e = run.where(F.col("set").isin("A", "B")).agg(
+        F.count("*").alias("events"), F.countDistinct("unit").alias("units"), F.countDistinct("city").alias("cities"), F.countDistinct("aspect").alias("aspects"), n(F.col("exposure") > 0).alias("exposed"), n(F.col("exposure") == 0).alias("unexposed"),
+        F.coalesce(F.avg(F.col("around").cast("double")), F.lit(0.0)).alias("around"), F.countDistinct("set").alias("halves"))
+    meets = lambda floors: F.least(F.lit(1), *[(F.col(c) >= x).cast("int") for c, x in floors.items()]) == 1
+    verdict = F.when(meets(green) & (F.col("halves") == 2), "GREEN_EXPLORATORY").when(meets(green) | meets(amber), "AMBER_ASSOCIATIONAL").otherwise("RED_MEASUREMENT")
+    return e.withColumn("verdict", verdict)
+
+
+def strict_grid(panel: DataFrame, edges: DataFrame, thresholds: tuple[float, ...] = (0.1, 0.15, 0.2), priors: tuple[float, ...] = (5.0, 10.0, 20.0), ks: tuple[int, ...] = (5, 10, 20), p: float = 0.9, peers: int = 5, rest: int = 2, immutable: str | None = None) -> DataFrame:
+    """Strict events under each threshold, prior of the posterior and number of nearest peers: counts of events and units.
+    edges: ranked, with the largest number of peers. Candidates, posteriors and peers are worked out once for all cells of the grid."""
+    found = strict_candidates(panel, min(thresholds), immutable=immutable)
+    for i, prior in enumerate(priors):
+        found = with_posterior(found, prior).withColumnRenamed("p_rise", f"p{i}")
+    moved = deltas(panel.where("complete")).where("has AND prev_has").select(F.col("unit").alias("peer"), "aspect", "ord", F.lit(True).alias("m"))
+    known = found.select("unit", "aspect", "ord").join(edges.select("unit", "peer", "rank"), "unit").join(moved, ["peer", "aspect", "ord"])
+    known = known.groupBy("unit", "aspect", "ord").agg(*[F.count(F.when(F.col("rank") <= k, 1)).alias(f"k{k}") for k in ks])
+    grid = [F.when((F.col("delta") >= t) & (F.col(f"p{i}") >= p) & (F.col(f"k{k}") >= peers), F.struct(F.lit(t).alias("threshold"), F.lit(prior).alias("prior"), F.lit(k).alias("k"))) for t in thresholds for i, prior in enumerate(priors) for k in ks]
+    each = found.join(known, ["unit", "aspect", "ord"]).select("unit", "aspect", "ord", F.explode(F.filter(F.array(*grid), lambda g: g.isNotNull())).alias("g")).select("unit", "aspect", "ord", "g.*")
+    kept = cooldown(each, rest, ("threshold", "prior", "k", "unit", "aspect")).groupBy("threshold", "prior", "k").agg(F.count("*").alias("events"), F.countDistinct("unit").alias("units"))
+    cells = panel.sparkSession.createDataFrame([(t, q, k) for t in thresholds for q in priors for k in ks], "threshold double, prior double, k int")
+    return cells.join(kept, ["threshold", "prior", "k"], "left").fillna(0, ["events", "units"])
 
 
 def cells(panel: DataFrame) -> DataFrame:

@@ -197,6 +197,27 @@ _PERSONA_ROWS = ",".join(f"('{name}',{i},{float(w.get(a, 0))}e0)" for name, w in
 _MATCHED = "sum(w*rel*net) FILTER (has AND w*rel>0)/sum(w*rel) FILTER (has AND w*rel>0)"
 _PLACE = "row_number() OVER (PARTITION BY city ORDER BY round(score,9) DESC NULLS LAST, s_name, unit)"
 
+def _strict(fold: str, name: str, aspects: str) -> str:
+    """Strict events before the cooldown, as CTE `name`0, and after, as `name`: fold is '', '_a' or '_b'."""
+    pos, neg = f"pos{fold}", f"neg{fold}"
+    net = _net(pos, neg)
+    return f"""{name}p AS (SELECT unit, city, period, ord, aspect, {pos} AS pos, {neg} AS neg, {pos}+{neg} AS total, {pos}+{neg}>0 AS has, {net} AS net FROM panel JOIN (SELECT period, complete FROM periods) USING (period) WHERE complete),
+{name}w AS (SELECT *, net-lag(net) OVER c AS delta, lag(ord) OVER c AS po, lag(has) OVER c AS ph, lag(total) OVER c AS pt, lag(pos) OVER c AS pp, lag(neg) OVER c AS pn, CASE WHEN lag(ord,2) OVER c=ord-2 THEN lag(total,2) OVER c ELSE 0 END AS p2,
+ coalesce(lag(ord,2) OVER c=ord-2 AND lag(has,2) OVER c AND lag(ord) OVER c=ord-1 AND lag(has) OVER c AND lead(ord) OVER c=ord+1 AND lead(has) OVER c AND lead(ord,2) OVER c=ord+2 AND lead(has,2) OVER c,false) AS around FROM {name}p WINDOW c AS (PARTITION BY unit, aspect ORDER BY ord)),
+{name}c AS (SELECT * FROM {name}w WHERE po=ord-1 AND has AND ph AND total>=5 AND pt>=5 AND p2>=3 AND delta>=0.15e0 AND {aspects} AND ord-(SELECT min(ord) FROM {name}p)>=2 AND (SELECT max(ord) FROM {name}p)-ord>=2),
+{name}q AS (SELECT unit, aspect, ord, sum(exp(lgamma(a0+i)+lgamma(b0+b1)-lgamma(a0+i+b0+b1)-ln(b1+i)-(lgamma(1.0e0+i)+lgamma(b1)-lgamma(1.0e0+i+b1))-(lgamma(a0)+lgamma(b0)-lgamma(a0+b0)))) AS p_rise
+ FROM (SELECT unit, aspect, ord, pos+5.0e0 AS a1, neg+5.0e0 AS b1, pp+5.0e0 AS a0, pn+5.0e0 AS b0, unnest(range(0,CAST(pos+5 AS BIGINT))) AS i FROM {name}c) GROUP BY ALL),
+{name}m AS (SELECT unit AS peer, aspect, ord, delta FROM {name}w WHERE po=ord-1 AND has AND ph),
+{name}0 AS (SELECT c.unit, c.city, c.aspect, c.period, c.ord, c.around, any_value(q.p_rise) AS p_rise, count(*) AS known, count(*) FILTER (m.delta>=0.15e0) AS improving, row_number() OVER (PARTITION BY c.unit, c.aspect ORDER BY c.ord) AS nr
+ FROM {name}c c JOIN {name}q q ON q.unit=c.unit AND q.aspect=c.aspect AND q.ord=c.ord AND q.p_rise>=0.8e0 JOIN edges e ON e.unit=c.unit JOIN {name}m m ON m.peer=e.peer AND m.aspect=c.aspect AND m.ord=c.ord GROUP BY c.unit, c.city, c.aspect, c.period, c.ord, c.around HAVING count(*)>=2),
+{name}r AS (SELECT unit, aspect, ord, nr, true AS keep, ord AS last FROM {name}0 WHERE nr=1 UNION ALL SELECT n.unit, n.aspect, n.ord, n.nr, n.ord-r.last>2, CASE WHEN n.ord-r.last>2 THEN n.ord ELSE r.last END FROM {name}r r JOIN {name}0 n ON n.unit=r.unit AND n.aspect=r.aspect AND n.nr=r.nr+1),
+{name} AS (SELECT x.* FROM {name}0 x JOIN {name}r r USING (unit, aspect, nr) WHERE keep)"""
+
+
+_RUN = "WITH RECURSIVE " + f"{_NP}, {_places('nation')}".removeprefix("WITH ")
+_SETS = ", ".join([_strict("_a", "sa", "aspect<>'STANDARD'"), _strict("_b", "sb", "aspect<>'STANDARD'"), _strict("", "sn", "aspect<>'STANDARD'"), _strict("", "sc", "aspect='STANDARD'")])
+_RUN_ALL = f"{_RUN}, {_SETS}, run AS (SELECT 'A' AS set, * FROM sa UNION ALL SELECT 'B', * FROM sb UNION ALL SELECT 'ALL', * FROM sn UNION ALL SELECT 'CONTROL', * FROM sc)"
+
 ORACLE: dict[str, str] = {
     "g01_mention_counts": f'{_S} SELECT unit, period, aspect, pos, neg, pos_a AS "pos_A", neg_a AS "neg_A", pos_b AS "pos_B", neg_b AS "neg_B" FROM counts',
     "g02_unit_period_scores": f'{_S} SELECT unit, period, city, n_reviews, n_a AS "n_A", n_b AS "n_B", round(mean_score,9) AS mean_score FROM up',
@@ -334,5 +355,10 @@ ORACLE: dict[str, str] = {
  SELECT unit, aspect, CAST(pos+f AS BIGINT) AS pos_mentions, CAST(neg_mentions-f AS BIGINT) AS neg_mentions, round({_net('(pos+f)', '(neg_mentions-f)')},9) AS net FROM fl""",
     "q10_evidence": f"{_SNAP}, {_CHOICES}, cand AS (SELECT unit, count(*) AS candidates FROM snap WHERE {_gate()} IS NULL GROUP BY unit) SELECT c.unit, strategy, c.aspect, mentions, neg_mentions, peer_n, candidates, round(gap,9) AS gap, round(percentile,9) AS percentile FROM choices c JOIN snap ON snap.unit=c.unit AND snap.aspect=c.aspect JOIN cand ON cand.unit=c.unit",
     "u05_reference_counters": f"{_SNAP}, b AS (SELECT unit, peer FROM edges UNION ALL SELECT unit, unit FROM edges WHERE rnk=1 UNION ALL SELECT unit, peer FROM edges WHERE rnk=2 UNION ALL SELECT unit, -peer FROM edges WHERE rnk=3), k AS (SELECT unit, peer, count(*) AS n, peer IN (SELECT unit FROM rec) AS here FROM b GROUP BY unit, peer) SELECT CAST(sum(n) AS BIGINT) AS edges, CAST(coalesce(sum(n) FILTER (unit=peer),0) AS BIGINT) AS self_edges, CAST(sum(n-1) FILTER (unit<>peer) AS BIGINT) AS repeated, count(*) FILTER (unit<>peer AND NOT here) AS absent, count(*) FILTER (unit<>peer AND here) AS kept FROM k",
+    "e02_strict_full": f"{_RUN}, {_strict('', 'sn', "aspect<>'STANDARD'")} SELECT unit, aspect, period, known, improving, round(p_rise,6) AS p_rise FROM sn",
+    "e03_strict_run": f"{_RUN_ALL} SELECT set, aspect, count(*) AS n, count(DISTINCT unit) AS units, count(*) FILTER (improving>0) AS exposed, count(*) FILTER (around) AS around FROM run GROUP BY ALL",
+    "p17_strict_verdict": f"""{_RUN_ALL}, v AS (SELECT count(*) AS events, count(DISTINCT unit) AS units, count(DISTINCT city) AS cities, count(DISTINCT aspect) AS aspects, count(*) FILTER (improving>0) AS exposed, count(*) FILTER (improving=0) AS unexposed, round(coalesce(avg(CAST(around AS INTEGER)),0.0e0),9) AS around, count(DISTINCT set) AS halves FROM run WHERE set IN ('A','B')),
+ g AS (SELECT *, events>=300 AND units>=200 AND cities>=4 AND aspects>=4 AND exposed>=100 AND unexposed>=100 AND around>=0.7e0 AS green FROM v) SELECT events, units, cities, aspects, exposed, unexposed, around, halves, CASE WHEN green AND halves=2 THEN 'GREEN_EXPLORATORY' WHEN green OR (events>=50 AND units>=30) THEN 'AMBER_ASSOCIATIONAL' ELSE 'RED_MEASUREMENT' END AS verdict FROM g""",
+    "w09_cooldown": f"WITH RECURSIVE {_N.removeprefix('WITH ')}, {_DELTA}, {_EVENTS}, o AS (SELECT unit, aspect, ord, row_number() OVER (PARTITION BY unit, aspect ORDER BY ord) AS nr FROM (SELECT DISTINCT unit, aspect, ord FROM ev)), r AS (SELECT unit, aspect, nr, ord AS last, true AS keep FROM o WHERE nr=1 UNION ALL SELECT o.unit, o.aspect, o.nr, CASE WHEN o.ord-r.last>2 THEN o.ord ELSE r.last END, o.ord-r.last>2 FROM r JOIN o ON o.unit=r.unit AND o.aspect=r.aspect AND o.nr=r.nr+1) SELECT aspect, count(*) AS n FROM r WHERE keep GROUP BY aspect",
     "g01_review_flagship": _rounded(_POLICIES["fix_weakest"]),
 }

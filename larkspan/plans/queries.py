@@ -668,7 +668,28 @@ def e02_strict_prefilter(spark, d):
 @query
 def e02_strict_full(spark, d):
     t = T(spark, d, "nation")
-    return events.strict_events(t.whole, t.edges, peers=2, p=0.8, immutable=GIVEN).select("unit", "aspect", "period", "known", "improving", "p_rise")
+    return events.strict_events(t.whole, t.edges, peers=2, p=0.8, immutable=GIVEN).select("unit", "aspect", "period", "known", "improving", F.round("p_rise", 6).alias("p_rise"))
+
+
+@query
+def e03_strict_run(spark, d):
+    """Events of both halves, of all and of the aspect that nobody acts on."""
+    t = T(spark, d, "nation")
+    run = events.strict_run(settled(t.whole), t.edges, GIVEN, peers=2, p=0.8)
+    return run.groupBy("set", "aspect").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("units"), F.count(F.when(F.col("exposure") > 0, 1)).alias("exposed"), F.count(F.when(F.col("around"), 1)).alias("around"))
+
+
+@query
+def p17_strict_verdict(spark, d):
+    t = T(spark, d, "nation")
+    found = events.strict_verdict(events.strict_run(settled(t.whole), t.edges, GIVEN, peers=2, p=0.8))
+    return found.withColumn("around", F.round("around", 9))
+
+
+@query
+def e09_strict_grid(spark, d):
+    t = T(spark, d, "nation")
+    return events.strict_grid(settled(t.whole), settled(peers.knn(t.places, 20)), peers=2, p=0.8, immutable=GIVEN)
 
 
 @query

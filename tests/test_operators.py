@@ -91,6 +91,21 @@ def test_peers(spark):
     assert {(r.unit, r.peer) for r in peers.within_radius(p, 0.5).collect()} == {(1, 2), (2, 1)}
 
 
+def test_peers_by_grid(spark, monkeypatch):
+    """Large cities, by cells, against all pairs: crowds, one place shared by many, few units, a line, the far north."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "A", 48 + rng.normal() * 0.1, 2 + rng.normal() * 0.1) for i in range(150)] + [(1000 + i, "A", 48.0, 2.0) for i in range(40)] + [(1100, "A", 50.0, 9.0)]
+    rows += [(2000 + i, "B", 89.0 + rng.random() * 0.9, rng.random() * 100) for i in range(60)] + [(3000 + i, "C", 10.0, 20 + i / 7) for i in range(50)] + [(4000 + i, "D", float(i), 1.0) for i in range(3)]
+    p = spark.createDataFrame([(i, c, float(a), float(b)) for i, c, a, b in rows], "unit long, city string, lat double, lon double")
+    get = lambda df: {(r.unit, r.peer, r["rank"], round(r.km, 6)) for r in df.collect()}
+    plain = get(peers.knn(p, 5))
+    monkeypatch.setattr(peers, "DENSE", 2)
+    assert get(peers.knn(p, 5)) == plain and len(plain) == 301 * 5 + 3 * 2
+    for km in (3.0, 40.0, 2000.0):
+        brute = peers._ranked(peers._measured(peers._own(p), peers._other(p), ["city"]).where(F.col("km") <= km), F.col("km"), F.col("peer"))
+        assert get(peers.within_radius(p, km)) == get(brute)
+
+
 SNAP = "unit long, city string, aspect string, has boolean, net double, rel double, mentions long, pos_mentions long, neg_mentions long, neg_rate double, mention_rate double, n_reviews long, peer_count long, peer_median double, peer_n long, gap double, percentile double, weak_share double, eligible boolean, ineligible_reason string, actionable boolean"
 
 
@@ -255,6 +270,7 @@ def test_posterior():
         mc = (rng.beta(a[0], a[1], 200_000) > rng.beta(a[2], a[3], 200_000)).mean()
         assert events.beta_greater(*a) == pytest.approx(mc, abs=0.01)
     assert events.beta_greater(5.0, 5.0, 5.0, 5.0) == pytest.approx(0.5, abs=1e-9)
+    assert events.beta_greater(3.0, 2.0, 2.0, 4.0) == pytest.approx(1 - events.beta_greater(2.0, 4.0, 3.0, 2.0), abs=1e-12)
 
 
 def test_estimators(spark):

@@ -108,7 +108,9 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """prints: distinct long fp. Edges a, b that connect the same fingerprints as all pairs within radius do."""
     tables = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(covering_masks(radius))]
-    rows = prints.select("fp", F.explode(F.array(*tables)).alias("e")).select("fp", "e.t", "e.key")
+    # A small file is few tasks', but its rows grow by as many as there are tables.
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = spread.select("fp", F.explode(F.array(*tables)).alias("e")).select("fp", "e.t", "e.key")
     large = C.scratch(rows.groupBy("t", "key").count().where(F.col("count") > most).select("t", "key"), "large")
     hot = None
     if not large.isEmpty():

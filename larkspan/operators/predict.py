@@ -77,6 +77,10 @@ def gram(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, f
 def ridge(df: DataFrame, x: list[str], y: str, alpha: float) -> np.ndarray:
     """Coefficients, the constant first and not penalised; least squares where the system is singular."""
     a, b, _, _ = gram(df, x, y)
+    return solve(a, b, alpha)
+
+
+def solve(a: np.ndarray, b: np.ndarray, alpha: float) -> np.ndarray:
     penalty = alpha * np.eye(len(b))
     penalty[0, 0] = 0.0
     try:
@@ -100,11 +104,12 @@ def fitted(train: DataFrame, val: DataFrame, test: DataFrame, x: list[str], y: s
     s = fill(train).agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(x)], *[F.stddev_samp(c).alias(f"d{i}") for i, c in enumerate(x)]).first()
     scale = {c: (s[f"a{i}"] or 0.0, s[f"d{i}"] or 1.0) for i, c in enumerate(x)}
     z = lambda d: fill(d).select(y, *[((F.col(c) - F.lit(scale[c][0])) / F.lit(scale[c][1])).alias(c) for c in x])
-    ztrain, best = z(train), None
-    for alpha in alphas:
-        b = ridge(ztrain, x, y, alpha)
-        p = linear(b[0], dict(zip(x, b[1:], strict=True)))
-        mae = z(val).agg(F.avg(F.abs(F.col(y) - p))).first()[0]
+    # Alpha enters on the driver only: one pass gives the sums, one the errors of all alphas.
+    a, b, _, _ = gram(z(train), x, y)
+    made = [linear(c[0], dict(zip(x, c[1:], strict=True))) for c in (solve(a, b, alpha) for alpha in alphas)]
+    errors = z(val).agg(*[F.avg(F.abs(F.col(y) - p)).alias(f"e{i}") for i, p in enumerate(made)]).first()
+    best = None
+    for alpha, p, mae in zip(alphas, made, errors, strict=True):
         if mae is not None and np.isfinite(mae) and (best is None or mae < best[0]):
             best = (mae, alpha, p)
     p = best[2] if best else F.lit(stats["y"])

@@ -276,7 +276,7 @@ ORACLE: dict[str, str] = {
     "g16_histogram": "WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT CAST(least(29,floor((l_extendedprice-lo)/(hi-lo)*30.0e0)) AS INTEGER) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1",
     "g17_top1_stability": f"WITH {_places('supplier')}, m AS (SELECT e.unit, e.peer FROM edges e JOIN edges b ON b.unit=e.peer AND b.peer=e.unit WHERE e.rnk=1), f AS (SELECT unit, peer FROM ranked WHERE rnk=1) SELECT count(*) AS n, avg(CAST(f.peer=m.peer AS INTEGER)) AS share FROM f JOIN m USING (unit)",
     "v03_peer_integrity": f"WITH {_places('supplier')} SELECT count(*) AS n_edges, count(*) FILTER (unit=peer) AS self_edges, CAST(0 AS BIGINT) AS cross_city, count(*)-count(DISTINCT (unit,peer)) AS repeated FROM edges",
-    "j13_pair_similarity": f"{_SE}, n AS (SELECT unit, aspect, net FROM panel WHERE has AND period='2000'), p AS (SELECT e.unit, e.peer, avg(abs(a.net-b.net)) AS diff FROM edges e JOIN n a ON a.unit=e.unit JOIN n b ON b.unit=e.peer AND b.aspect=a.aspect GROUP BY e.unit, e.peer) SELECT count(*) AS edges, round(avg(diff),9) AS mean_diff FROM p",
+    "j13_pair_similarity": f"{_SE}, {_periods('supplier')}, n AS (SELECT unit, aspect, net FROM panel WHERE has AND period=(SELECT max_by(period,ord) FROM periods WHERE complete)), p AS (SELECT e.unit, e.peer, avg(abs(a.net-b.net)) AS diff FROM edges e JOIN n a ON a.unit=e.unit JOIN n b ON b.unit=e.peer AND b.aspect=a.aspect GROUP BY e.unit, e.peer) SELECT count(*) AS edges, round(avg(diff),9) AS mean_diff FROM p",
     "j12_delta_correlation": f"{_SE}, {_DELTA}, m AS (SELECT unit, period, aspect, delta FROM deltas WHERE has AND prev_has) SELECT a.aspect, count(*) AS n, CASE WHEN count(*)>=20 THEN round(corr(a.delta,b.delta),9) END AS corr FROM edges e JOIN m a ON a.unit=e.unit JOIN m b ON b.unit=e.peer AND b.period=a.period AND b.aspect=a.aspect GROUP BY a.aspect",
     "r01_random_peers": f"WITH {_places('supplier')}, c AS (SELECT city, count(*) AS n FROM places GROUP BY city), o AS (SELECT city, lead(n) OVER (ORDER BY city) AS nx, first_value(n) OVER (ORDER BY city) AS f FROM c), k AS (SELECT p.unit, least(5,c.n-1) AS lo, least(5,coalesce(nx,f)) AS ot FROM places p JOIN c USING (city) JOIN o USING (city)) SELECT 'local' AS kind, count(*) AS units, min(lo) AS least, max(lo) AS most, CAST(sum(lo) AS BIGINT) AS same_city, CAST(0 AS BIGINT) AS repeats FROM k WHERE lo>0 UNION ALL SELECT 'other', count(*), min(ot), max(ot), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM k",
     "q01_snapshot": f"{_SNAP} SELECT unit, aspect, has, round(net,9) AS net, mentions, peer_count, peer_n, round(peer_median,9) AS peer_median, round(gap,9) AS gap, round(percentile,9) AS percentile, round(weak_share,9) AS weak_share, eligible, ineligible_reason FROM snap",

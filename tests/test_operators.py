@@ -342,7 +342,7 @@ def test_rows_only_queries(spark, sf):
     for name in ("e02_strict_full", "j16_matching", "m06_fe_ols", "r11_cluster_bootstrap", "w09_cooldown", "g26_event_time_means", "m02_ridge_fit", "q01_documents"):
         QUERIES[name](spark, sf).collect()
     t = Tables(spark, sf, "nation")
-    strict = events.strict_events(t.whole, t.edges, peers=2, p=0.8, immutable=snapshot.IMMUTABLE)
+    strict = events.strict_events(t.whole, t.edges, peers=2, p=0.8, immutable="STANDARD")
     assert strict.where("aspect = 'STANDARD' OR p_rise < 0.8 OR known < 2").count() == 0
     pairs = events.match(events.control_pool(events.permissive_events(t.panel), t.panel))
     assert pairs.groupBy("city", "aspect", "ord", "control").count().where("count > 1").count() == 0
@@ -358,7 +358,7 @@ def test_contract_without_llm():
 
 
 def test_whole_texts_and_props(spark, sf, tmp_path):
-    rows = {(r.conv_id, r.turn): r.h for r in QUERIES["f01_normalise_whole"](spark, sf).collect()}
+    rows = {(r.conv_id, r.turn): r.h for r in QUERIES["f01_normalise"](spark, sf).collect()}
     texts = R.table(spark, sf, "conversations").select("conv_id", "turn", "text").collect()
     assert max(len(r.text or "") for r in texts) > 40
     assert rows == {(r.conv_id, r.turn): hashlib.sha1(" ".join((r.text or "").lower().split()).encode()).hexdigest() for r in texts}
